@@ -308,10 +308,10 @@ def _judged(values: str = "vals") -> list[str]:
         return f"CASE WHEN back = 30 THEN {f} {over(30)} ELSE {f} {over(7)} END"
 
     return [
-        f"""hist AS (SELECT v.*, spec.* EXCLUDE (kpi), CAST(value AS DOUBLE) AS cur,
+        f"""hist AS (SELECT *, CAST(value AS DOUBLE) AS cur,
   {pick('count(*)')} AS n, {pick('sum(value)')} AS total,
   {pick('stddev_pop(CAST(value AS DOUBLE))')} AS std
-  FROM {values} v JOIN spec ON spec.kpi = v.kpi)""",
+  FROM {values} JOIN spec USING (kpi))""",
         """based AS (SELECT *, CAST(total AS DOUBLE) / nullif(n, 0) AS base FROM hist)""",
         """changed AS (SELECT *,
   CASE WHEN base <> 0 THEN (cur - base) / base * 100e0 END AS chg,
@@ -334,7 +334,7 @@ def _judged(values: str = "vals") -> list[str]:
 _STATUS_CTES = [*_ALL_KPIS, _VALUES, _SPECS, *_judged()]
 _STATUS_ROW = f"""
 SELECT kpi, segment, day, cur AS current_value, {rnd('base', 4)} AS baseline,
-  {rnd('std', 2)} AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
+  {rnd('std', 4)} AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
   {rnd('chg', 4)} AS change_percent, threshold_type, t AS threshold_value,
   CASE WHEN hit THEN {rnd('over_by', 4)} END AS breach_amount, status, reason,
   true AS alert_enabled, priority AS alert_priority FROM judged"""
@@ -644,9 +644,9 @@ def _fortnight(f: str) -> str:
 
 
 add("measures_daily", f"""
-SELECT * EXCLUDE (prior_day, s), {rnd('s', 2)} AS rolling_std_14d,
-  {rnd('rolling_mean_14d + 2e0 * s', 2)} AS ucl,
-  {rnd('greatest(0e0, rolling_mean_14d - 2e0 * s)', 2)} AS lcl,
+SELECT * EXCLUDE (prior_day, s), {rnd('s', 4)} AS rolling_std_14d,
+  {rnd('rolling_mean_14d + 2e0 * s', 4)} AS ucl,
+  {rnd('greatest(0e0, rolling_mean_14d - 2e0 * s)', 4)} AS lcl,
   CASE WHEN dod_growth_pct < -15 OR on_time_rate_pct < 85 THEN 'CRITICAL ALERT'
        ELSE 'HEALTHY' END AS anomaly
 FROM (SELECT *, CASE WHEN prior_day IS NULL OR prior_day = 0 THEN 0e0

@@ -299,7 +299,7 @@ def _shown(status: DataFrame) -> DataFrame:
     """Verdict columns at the precision that does not depend on summation order."""
     return status.select(
         "kpi", "segment", "day", "current_value", round_to(F.col("baseline"), 4)
-        .alias("baseline"), round_to(F.col("historical_std"), 2).alias("historical_std"),
+        .alias("baseline"), round_to(F.col("historical_std"), 4).alias("historical_std"),
         "historical_count", round_to(F.col("change_percent"), 4).alias("change_percent"),
         "threshold_type", "threshold_value",
         round_to(F.col("breach_amount"), 4).alias("breach_amount"), "status", "reason",
@@ -567,7 +567,7 @@ def measures_by_city(m: Mart) -> DataFrame:
 @query
 def measures_daily(m: Mart) -> DataFrame:
     d = ms.daily_measures(_fact(m))
-    return d.select(*[round_to(F.col(c), 2).alias(c)
+    return d.select(*[round_to(F.col(c), 4).alias(c)
                       if c in ("rolling_std_14d", "ucl", "lcl") else F.col(c)
                       for c in d.columns])
 
