@@ -255,13 +255,13 @@ def recent_history(m: Mart) -> DataFrame:
 # --- metric values and verdicts ------------------------------------------------------------
 
 def _kpi_group(m: Mart, group: list[str]) -> DataFrame:
-    orders, segments = placed(m), kv.segment_list(m.customers, STATE)
-    args = dict(asof=m.asof, first_day=m.first_day, segment=STATE, segments=segments)
+    args = dict(asof=m.asof, first_day=m.first_day, segment=STATE,
+                segments=kv.segment_list(m.customers, STATE))
     if group is kv.DAY_KPIS:
-        return kv.day_kpis(orders, m.payments, whole=True, **args)
+        return kv.day_kpis(placed(m), m.payments, whole=True, **args)
     if group is kv.DELIVERY_KPIS:
-        return kv.delivery_kpis(orders, **args)
-    return kv.customer_kpis(orders, m.customers, **args)
+        return kv.delivery_kpis(m.orders, m.customers, **args)
+    return kv.customer_kpis(m.orders, m.customers, **args)
 
 
 def _register_kpi(name: str, group: list[str]) -> None:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import since
-from tidemark.operators.ordergrain import payment_totals, scoped
+from tidemark.operators.ordergrain import payment_totals
 from tidemark.schemas import CANCELED
 
 
@@ -21,7 +21,7 @@ def recent_distribution(orders: DataFrame, payments: DataFrame, asof: date,
                         days: int = 7) -> DataFrame:
     """Payment rows (an unpaid order counts one) and revenue per day, newest first."""
     recent = orders.filter(since("purchase_ts", asof, days)).select("order_id", "purchase_ts")
-    totals = payment_totals(scoped(payments, recent))
+    totals = payment_totals(payments, recent)
     return (recent.join(totals, "order_id", "left")
             .groupBy(F.to_date("purchase_ts").alias("day"))
             .agg(F.sum(F.coalesce("n_payments", F.lit(1))).alias("row_count"),
@@ -38,7 +38,7 @@ def recent_history(orders: DataFrame, payments: DataFrame, asof: date,
     recent = (orders.filter(since("purchase_ts", asof, days))
               .filter(F.col("order_status") != CANCELED)
               .select("order_id", F.to_date("purchase_ts").alias("day")))
-    totals = payment_totals(scoped(payments, recent))
+    totals = payment_totals(payments, recent)
     return (recent.join(totals, "order_id", "left")
             .groupBy("order_id", "day").agg(F.sum("paid").alias("paid"))
             .groupBy("day").agg(F.sum("paid").alias("revenue"),

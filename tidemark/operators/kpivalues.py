@@ -17,7 +17,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import elapsed_micros, in_days, mean_of, percent
-from tidemark.operators.ordergrain import payment_totals, scoped, with_segments
+from tidemark.operators.ordergrain import payment_totals, with_segments
 from tidemark.operators.rollup import calendar, calendar_window
 from tidemark.schemas import APPROVED_STATES, CANCELED, DELIVERED, VALUE
 
@@ -51,12 +51,12 @@ def day_kpis(orders: DataFrame, payments: DataFrame, asof: date, first_day: date
              whole: bool = False) -> DataFrame:
     """Metrics of a single purchase day, for days having rows; ``asof`` is always present.
 
-    ``whole`` says that the range covers the table, so children need no thinning.
+    ``orders`` carries the ``segment`` column. ``whole`` says that the range covers the table, so children need no thinning.
     """
     o = orders.filter((F.col("purchase_ts") >= F.lit(first_day))
                       & (F.col("purchase_ts") < F.lit(asof + timedelta(days=1))))
     active = F.col("order_status") != CANCELED
-    totals = payment_totals(payments if whole else scoped(payments, o))
+    totals = payment_totals(payments, None if whole else o)
     joined = o.join(totals, "order_id", "left")
     per_order = (
         with_segments(joined, segment)
@@ -89,31 +89,35 @@ def day_kpis(orders: DataFrame, payments: DataFrame, asof: date, first_day: date
     })
 
 
-def delivery_kpis(orders: DataFrame, asof: date, first_day: date,
+def delivery_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day: date,
                   segment: str | None = None, segments: DataFrame | None = None) -> DataFrame:
     """Delivery time and punctuality of orders delivered in the trailing week of each day.
 
     At the anchor day there is no upper bound on the delivery date; earlier days see only
-    what had been delivered by then.
+    what had been delivered by then. Deliveries shrink to one row per customer and day before
+    they meet the customer table.
     """
     done = orders.filter(
         (F.col("order_status") == DELIVERED)
         & (F.col("delivered_ts") >= F.lit(first_day - timedelta(days=DELIVERY_DAYS))))
     day = F.least(F.to_date("delivered_ts"), F.lit(asof))
     micros = elapsed_micros(F.col("delivered_ts"), F.col("purchase_ts"))
-    daily = (with_segments(done, segment).groupBy("segment", day.alias("day"))
-             .agg(F.sum(micros.cast("decimal(20,0)")).alias("micros"),
-                  F.count(micros).alias("n_timed"),
-                  F.count(F.lit(1)).alias("n"),
-                  F.count_if(F.col("delivered_ts") <= F.col("estimated_ts")).alias("on_time")))
+    counts = ["micros", "n_timed", "n", "on_time"]
+    keys = ["customer_id"] if segment else []
+    daily = done.groupBy(*keys, day.alias("day")).agg(
+        F.sum(micros.cast("decimal(20,0)")).alias("micros"),
+        F.count(micros).alias("n_timed"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("delivered_ts") <= F.col("estimated_ts")).alias("on_time"))
+    if segment:
+        daily = daily.join(customers.select("customer_id", segment), "customer_id", "left")
+    daily = with_segments(daily, segment).groupBy("segment", "day").agg(
+        *[F.sum(c).alias(c) for c in counts])
     if segments is None:
-        segments = segment_list(orders, segment)
+        segments = segment_list(customers, segment)
     spine = calendar(segments, first_day - timedelta(days=DELIVERY_DAYS), asof)
     week = calendar_window(["segment"], -DELIVERY_DAYS, 0)
     rolled = (spine.join(daily, ["segment", "day"], "left")
-              .select("segment", "day",
-                      *[F.sum(c).over(week).alias(c)
-                        for c in ("micros", "n_timed", "n", "on_time")])
+              .select("segment", "day", *[F.sum(c).over(week).alias(c) for c in counts])
               .filter(F.col("day") >= F.lit(first_day)))
     mean_days = in_days(F.col("micros")) / F.col("n_timed").cast("double")
     return _long(rolled, {
@@ -140,17 +144,18 @@ def customer_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day
     that interval if ``p`` had several orders, else up to ``prev+30``. Intervals of one
     customer never overlap, so counting intervals counts distinct customers.
 
-    ``orders`` must carry the ``segment`` column; churn counts only customers that are in
-    ``customers``, its base counts all.
+    Churn counts only customers that are in ``customers``, its base counts all. A customer
+    shrinks to one row per purchase day before the join and the window, so a customer owning
+    a large share of the orders is at most as many rows as there are days.
     """
     prior_from, prior_to = CHURN_PRIOR
     o = orders.filter(F.col("customer_id").isNotNull()
                       & (F.col("purchase_ts") >= F.lit(first_day - timedelta(days=prior_from)))
                       & (F.col("purchase_ts") < F.lit(asof + timedelta(days=1))))
     keep = [segment] if segment else []
-    visits = o.groupBy("customer_id", *keep, F.to_date("purchase_ts").alias("day")).agg(
+    visits = o.groupBy("customer_id", F.to_date("purchase_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n_orders"))
-    known = customers.select("customer_id", F.lit(True).alias("known"))
+    known = customers.select("customer_id", *keep, F.lit(True).alias("known"))
     by_customer = Window.partitionBy("customer_id").orderBy("day")
     gaps = (visits.join(known, "customer_id", "left")
             .withColumn("next", F.lead("day").over(by_customer))
@@ -193,13 +198,13 @@ def customer_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day
 def kpi_values(orders: DataFrame, payments: DataFrame, customers: DataFrame, asof: date,
                first_day: date, segment: str | None = None, whole: bool = False) -> DataFrame:
     """All nine metrics from ``first_day`` to ``asof``; ``segment`` is a customer column."""
-    segments = None
-    if segment is not None:
-        orders = orders.join(customers.select("customer_id", segment), "customer_id", "left")
-        segments = segment_list(customers, segment)
+    segments = segment_list(customers, segment)
     args = dict(asof=asof, first_day=first_day, segment=segment, segments=segments)
-    return (day_kpis(orders, payments, whole=whole, **args)
-            .unionByName(delivery_kpis(orders, **args))
+    placed = orders
+    if segment is not None:
+        placed = orders.join(customers.select("customer_id", segment), "customer_id", "left")
+    return (day_kpis(placed, payments, whole=whole, **args)
+            .unionByName(delivery_kpis(orders, customers, **args))
             .unionByName(customer_kpis(orders, customers, **args)))
 
 

@@ -10,28 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def scoped(children: DataFrame, orders: DataFrame) -> DataFrame:
-    """Children whose order is among ``orders``.
+def scoped(per_order: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """Rows of a per-order table whose order is among ``orders``; all of them without it.
 
-    Spark broadcasts the ids when their measured size allows; otherwise a Bloom filter on
-    them thins the children ahead of the shuffle.
+    Meant for a table already grouped by order. While the ids are small enough to broadcast,
+    by Spark's own measure, the semi join is moved below the grouping and thins the scan;
+    beyond that the grouping combines first and a Bloom filter of bounded size thins the scan.
     """
-    return children.join(orders.select("order_id"), "order_id", "left_semi")
+    if orders is None:
+        return per_order
+    return per_order.join(orders.select("order_id"), "order_id", "left_semi")
 
 
-def payment_totals(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
+def payment_totals(payments: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    totals = payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_payments"),
         F.count("payment_value").alias("n_values"),
         F.sum("payment_value").alias("paid"),
         F.max("payment_type").alias("payment_type"))
+    return scoped(totals, orders)
 
 
-def review_totals(reviews: DataFrame) -> DataFrame:
-    return reviews.groupBy("order_id").agg(
+def review_totals(reviews: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    totals = reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count("review_score").alias("n_scores"),
         F.sum("review_score").alias("score_sum"))
+    return scoped(totals, orders)
 
 
 def fan_out(count: str) -> Column:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import elapsed_micros, in_days, mean_of, since
-from tidemark.operators.ordergrain import fan_out, payment_totals, scoped, with_segments
+from tidemark.operators.ordergrain import fan_out, payment_totals, with_segments
 from tidemark.schemas import DELIVERED, VALUE
 
 
@@ -22,12 +22,12 @@ def daily_rollup(orders: DataFrame, payments: DataFrame, asof: date | None = Non
     o = orders.filter(F.col("purchase_ts").isNotNull())
     if lookback is not None:
         o = o.filter(since("purchase_ts", asof, lookback))
-        payments = scoped(payments, o)
+    totals = payment_totals(payments, o if lookback is not None else None)
     weight = fan_out("n_payments").cast("decimal(18,0)")
     arrived = ((F.col("order_status") == DELIVERED) & F.col("delivered_ts").isNotNull())
     micros = elapsed_micros(F.col("delivered_ts"), F.col("purchase_ts")).cast("decimal(20,0)")
     per_order = (
-        with_segments(o.join(payment_totals(payments), "order_id", "left"), segment)
+        with_segments(o.join(totals, "order_id", "left"), segment)
         .groupBy("segment", F.to_date("purchase_ts").alias("day"), "order_id")
         .agg(F.sum("paid").alias("paid"),
              F.sum("n_values").alias("n_values"),

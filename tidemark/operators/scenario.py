@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import mean_of, round_to, since
-from tidemark.operators.ordergrain import payment_totals, scoped, with_segments
+from tidemark.operators.ordergrain import payment_totals, with_segments
 
 # Volume change in percent per unit of each input.
 PRICE_ELASTICITY, CHURN_EFFECT, DELAY_EFFECT = -1.25, 0.45, 1.8
@@ -20,7 +20,7 @@ def baseline(orders: DataFrame, payments: DataFrame, asof: date, days: int = 30,
     Empty figures take the documented stand-ins 100, 10000 and 100.
     """
     o = orders.filter(since("purchase_ts", asof, days))
-    per_order = (with_segments(o.join(payment_totals(scoped(payments, o)), "order_id", "left"),
+    per_order = (with_segments(o.join(payment_totals(payments, o), "order_id", "left"),
                                segment)
                  .groupBy("segment", "order_id")
                  .agg(F.sum("paid").alias("paid"), F.sum("n_values").alias("n_values")))

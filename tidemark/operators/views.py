@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import (
     days_between, elapsed_micros, in_days, mean_of, percent, round_to, since)
-from tidemark.operators.ordergrain import fan_out, payment_totals, review_totals, scoped
+from tidemark.operators.ordergrain import fan_out, payment_totals, review_totals
 
 
 def cents_mean(total, count):
@@ -17,19 +17,22 @@ def cents_mean(total, count):
 
 
 def order_fact(orders: DataFrame, customers: DataFrame, payments: DataFrame,
-               reviews: DataFrame) -> DataFrame:
+               reviews: DataFrame, part: bool = False) -> DataFrame:
     """One flat row per order. An order without review scores 0 in ``csat_review_score`` and
-    NULL in ``csat_score_known``.
+    NULL in ``csat_score_known``. ``part`` says that ``orders`` is a part of the table, to
+    which the children are then limited.
 
     Customers join first: the exchange by order that follows is needed anyway, so a customer
     owning a large share of the orders can be split there freely.
     """
     on_time = F.col("delivered_ts") <= F.col("estimated_ts")
     csat = mean_of(F.col("score_sum"), F.col("n_scores"))
+    scope = orders if part else None
     return (orders.join(customers.select("customer_id", "customer_city", "customer_state"),
                         "customer_id", "left")
-            .join(payment_totals(payments).drop("n_payments", "n_values"), "order_id", "left")
-            .join(review_totals(reviews), "order_id", "left")
+            .join(payment_totals(payments, scope).drop("n_payments", "n_values"), "order_id",
+                  "left")
+            .join(review_totals(reviews, scope), "order_id", "left")
             .select("order_id", "customer_id", "customer_city", "customer_state",
                     "order_status", "purchase_ts",
                     F.to_date("purchase_ts").alias("order_date"),
@@ -54,7 +57,7 @@ def recent_order_fact(orders, customers, payments, reviews, asof: date,
                       days: int = 90) -> DataFrame:
     """``recent_orders`` with the date limit applied before the children are read."""
     o = orders.filter(since("purchase_ts", asof, days))
-    fact = order_fact(o, customers, scoped(payments, o), scoped(reviews, o))
+    fact = order_fact(o, customers, payments, reviews, part=True)
     return fact.orderBy(F.desc("purchase_ts"), "order_id")
 
 
@@ -102,8 +105,8 @@ def regional_summary(orders: DataFrame, customers: DataFrame, payments: DataFram
     o = orders.filter(since("purchase_ts", asof, days))
     joined = (o.join(customers.select("customer_id", "customer_state", "customer_city"),
                      "customer_id")
-              .join(payment_totals(scoped(payments, o)), "order_id", "left")
-              .join(review_totals(scoped(reviews, o)), "order_id", "left"))
+              .join(payment_totals(payments, o), "order_id", "left")
+              .join(review_totals(reviews, o), "order_id", "left"))
     if grain == "joined":
         by_review, by_payment = fan_out("n_reviews"), fan_out("n_payments")
     else:
