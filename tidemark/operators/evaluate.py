@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -153,9 +153,41 @@ def with_errors(status: DataFrame, values: DataFrame) -> DataFrame:
     return status.unionByName(failed, allowMissingColumns=True)
 
 
+def sql_history(spark: SparkSession, specs: list[dict], asof: date) -> DataFrame:
+    """Earlier values ``(kpi, segment, day, value)`` of SQL-defined metrics.
+
+    A spec may carry a ``history_query`` that returns ``day, value`` rows, which costs one
+    scan. Failing that, a ``sql_query`` using ``:asof`` is asked again for each earlier day;
+    one without ``:asof`` has no history.
+    """
+    out = spark.createDataFrame([], f"kpi string, segment string, day date, value {VALUE}")
+
+    def row(df, name, day):
+        return df.select(F.lit(name).alias("kpi"), F.lit("ALL").alias("segment"), day,
+                         F.expr(f"try_cast(value as {VALUE})").alias("value"))
+
+    for spec in specs:
+        name, query = spec.get("name"), spec.get("sql_query") or ""
+        days = MONTH_DAYS if spec.get("comparison_period") == "previous_month" else WEEK_DAYS
+        try:
+            if spec.get("history_query"):
+                past = spark.sql(spec["history_query"], args={"asof": asof}
+                                 if ":asof" in spec["history_query"] else None)
+                out = out.unionByName(row(past, name, F.col("day")))
+            elif ":asof" in query:
+                for back in range(1, days + 1):
+                    day = asof - timedelta(days=back)
+                    past = spark.sql(query, args={"asof": day}).limit(1)
+                    out = out.unionByName(row(past, name, F.lit(day).alias("day")))
+        except PySparkException:
+            continue                             # reported with the current value
+    return out.filter(F.col("value").isNotNull())
+
+
 def evaluate_sql(spark: SparkSession, specs: list[dict], spec_rows: DataFrame, asof: date,
-                 past: DataFrame) -> DataFrame:
-    """Verdicts of SQL-defined metrics at ``asof``; ``past`` holds their earlier values."""
+                 past: DataFrame | None = None) -> DataFrame:
+    """Verdicts of SQL-defined metrics at ``asof``; ``past`` defaults to ``sql_history``."""
+    past = sql_history(spark, specs, asof) if past is None else past
     current = sql_kpi_values(spark, specs, asof)
     today = current.filter(F.col("error").isNull()).select(
         "kpi", F.lit("ALL").alias("segment"), F.lit(asof).alias("day"),
