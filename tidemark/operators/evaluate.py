@@ -5,10 +5,9 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import percent, round_to
-from tidemark.operators.rollup import calendar_window
 from tidemark.schemas import VALUE
 
 MONTH_DAYS, WEEK_DAYS = 30, 7
@@ -19,34 +18,31 @@ ZERO_BASELINE = "Baseline was zero, new value detected"
 BOTH_ZERO = "Both baseline and current are zero"
 
 
-def history(values: DataFrame, days: Column, with_values: bool = False) -> DataFrame:
-    """Mean, spread and count of the present days among the ``days`` before each row.
+def history(values: DataFrame, with_values: bool = False) -> DataFrame:
+    """Mean, spread and count of the present days among the ``back`` days before each row.
 
-    ``days`` is 7 or 30 per row. One lone history day stands for five equal ones.
+    ``back`` is 7 or 30 per row. One lone history day stands for five equal ones.
     ``with_values`` adds the last seven history values, oldest first.
     """
-    keys = ["kpi", "segment"]
-    frames = {n: calendar_window(keys, -n, -1) for n in (WEEK_DAYS, MONTH_DAYS)}
-
-    def pick(make):
-        return F.when(days == MONTH_DAYS, make(frames[MONTH_DAYS])).otherwise(
-            make(frames[WEEK_DAYS]))
-
-    n = pick(lambda w: F.count("value").over(w))
-    out = values.select(
-        "*",
-        F.when(n == 1, 5).otherwise(n).alias("historical_count"),
-        pick(lambda w: F.try_divide(F.sum("value").over(w).cast("double"),
-                                    F.count("value").over(w).cast("double")))
-        .alias("baseline"),
-        pick(lambda w: F.stddev_pop(F.col("value").cast("double")).over(w))
-        .alias("historical_std"))
+    def pick(function: str) -> str:
+        over = {n: f"{function} over (partition by kpi, segment order by unix_date(day) "
+                   f"range between {n} preceding and 1 preceding)"
+                for n in (WEEK_DAYS, MONTH_DAYS)}
+        return f"if(back = {MONTH_DAYS}, {over[MONTH_DAYS]}, {over[WEEK_DAYS]})"
+
+    columns = ["*", pick("count(value)") + " as n", pick("sum(value)") + " as total",
+               pick("stddev_pop(cast(value as double))") + " as historical_std"]
     if with_values:
-        point = F.struct("day", F.col("value").cast("double").alias("value"))
-        points = F.sort_array(pick(lambda w: F.collect_list(point).over(w)))
-        last = F.slice(points, F.greatest(F.size(points) - 6, F.lit(1)), 7)
-        out = out.withColumn("historical_values", F.transform(last, lambda s: s["value"]))
-    return out
+        columns.append(pick("collect_list(struct(day, cast(value as double) as value))")
+                       + " as points")
+    out = (values.selectExpr(*columns)
+           .withColumn("baseline", F.expr("try_divide(cast(total as double), n)"))
+           .withColumn("historical_count", F.expr("if(n = 1, 5, n)")))
+    if with_values:
+        out = out.withColumn("historical_values", F.expr(
+            "transform(slice(sort_array(points), greatest(size(points) - 6, 1), 7), "
+            "p -> p.value)")).drop("points")
+    return out.drop("n", "total")
 
 
 def verdict(rows: DataFrame) -> DataFrame:
@@ -54,32 +50,36 @@ def verdict(rows: DataFrame) -> DataFrame:
 
     Comparisons are strict: a change equal to the threshold is normal.
     """
-    cur, base = F.col("current_value"), F.col("baseline")
-    std, t = F.col("historical_std"), F.col("threshold_value")
-    judged = (F.col("historical_count") > 0) & (base != 0)
-    change = F.when(judged, (cur - base) / base * 100)
-    kind = F.col("threshold_type")
-    z = F.when(judged & (kind == "statistical") & (F.col("historical_count") > 1) & (std > 0),
-               (cur - base) / std)
-    excess = (F.when(kind == "percentage_drop", -F.col("change_percent") - t)
-              .when(kind == "percentage_spike", F.col("change_percent") - t)
-              .when(kind == "absolute_drop", (base - cur) - t)
-              .when(kind == "absolute_spike", (cur - base) - t)
-              .when(kind == "statistical", F.abs("z_score") - t))
-    breached = (F.when(kind == "percentage_drop", F.col("change_percent") < -t)
-                .when(kind == "percentage_spike", F.col("change_percent") > t)
-                .when(kind == "absolute_drop", (base - cur) > t)
-                .when(kind == "absolute_spike", (cur - base) > t)
-                .when(kind == "statistical", F.abs("z_score") > t))
-    alert = F.coalesce(judged & breached, F.lit(False))
-    return (rows.withColumn("change_percent", change).withColumn("z_score", z)
-            .withColumn("status", F.when(alert, "alert").otherwise("normal"))
-            .withColumn("breach_amount", F.when(alert, excess))
-            .withColumn("reason", F.when(F.col("historical_count") == 0, NO_HISTORY)
-                        .when((base == 0) & (cur > 0), ZERO_BASELINE)
-                        .when(base == 0, BOTH_ZERO))
-            .withColumn("change_percent", F.when((base == 0) & (cur > 0), 100.0)
-                        .otherwise(F.col("change_percent"))))
+    return (
+        rows
+        .withColumn("judged", F.expr("historical_count > 0 and baseline <> 0"))
+        .withColumn("change", F.expr(
+            "if(judged, (current_value - baseline) / baseline * 100, null)"))
+        .withColumn("z_score", F.expr(
+            "case when judged and threshold_type = 'statistical' and historical_count > 1 "
+            "and historical_std > 0 then (current_value - baseline) / historical_std end"))
+        .withColumn("breach", F.expr(
+            "coalesce(judged and case threshold_type "
+            "when 'percentage_drop' then change < -threshold_value "
+            "when 'percentage_spike' then change > threshold_value "
+            "when 'absolute_drop' then (baseline - current_value) > threshold_value "
+            "when 'absolute_spike' then (current_value - baseline) > threshold_value "
+            "when 'statistical' then abs(z_score) > threshold_value end, false)"))
+        .withColumn("breach_amount", F.expr(
+            "case when breach then case threshold_type "
+            "when 'percentage_drop' then abs(change) - threshold_value "
+            "when 'percentage_spike' then change - threshold_value "
+            "when 'absolute_drop' then (baseline - current_value) - threshold_value "
+            "when 'absolute_spike' then (current_value - baseline) - threshold_value "
+            "when 'statistical' then abs(z_score) - threshold_value end end"))
+        .withColumn("status", F.expr("if(breach, 'alert', 'normal')"))
+        .withColumn("reason", F.expr(
+            f"case when historical_count = 0 then '{NO_HISTORY}' "
+            f"when baseline = 0 and current_value > 0 then '{ZERO_BASELINE}' "
+            f"when baseline = 0 then '{BOTH_ZERO}' end"))
+        .withColumn("change_percent", F.expr(
+            "if(baseline = 0 and current_value > 0, 100d, change)"))
+        .drop("judged", "change", "breach"))
 
 
 def evaluate(values: DataFrame, specs: DataFrame, asof: date | None = None) -> DataFrame:
@@ -88,15 +88,14 @@ def evaluate(values: DataFrame, specs: DataFrame, asof: date | None = None) -> D
     ``specs`` holds one row per configured metric, so it is broadcast.
     """
     spec = F.broadcast(specs.drop("sql_query").withColumnRenamed("name", "kpi"))
-    days = F.when(F.col("comparison_period") == "previous_month", MONTH_DAYS).otherwise(
-        WEEK_DAYS)
     if asof is not None:
         values = values.filter(F.col("day") >= F.date_sub(F.lit(asof), MONTH_DAYS))
-    rows = history(values.join(spec, "kpi"), days, with_values=asof is not None)
+    back = F.expr(f"if(comparison_period = 'previous_month', {MONTH_DAYS}, {WEEK_DAYS})")
+    rows = history(values.join(spec, "kpi").withColumn("back", back), asof is not None)
     if asof is not None:
         rows = rows.filter(F.col("day") == F.lit(asof))
     return verdict(rows.withColumn("current_value", F.col("value").cast("double"))
-                   .drop("value", "comparison_period"))
+                   .drop("value", "comparison_period", "back"))
 
 
 # --- metrics defined by SQL text -------------------------------------------------------

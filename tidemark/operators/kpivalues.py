@@ -127,13 +127,6 @@ def delivery_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day
     })
 
 
-def _changes(name: str, start: Column, end: Column) -> Column:
-    """The two calendar changes of an interval, or none if it is empty."""
-    def change(day, step):
-        return F.struct(F.lit(name).alias("count"), day.alias("day"), F.lit(step).alias("step"))
-    return F.when(start <= end, F.array(change(start, 1), change(F.date_add(end, 1), -1)))
-
-
 def customer_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day: date,
                   segment: str | None = None, segments: DataFrame | None = None) -> DataFrame:
     """Churn and repeat rate for every day, from purchase-to-purchase gaps.
@@ -160,24 +153,24 @@ def customer_kpis(orders: DataFrame, customers: DataFrame, asof: date, first_day
     gaps = (visits.join(known, "customer_id", "left")
             .withColumn("next", F.lead("day").over(by_customer))
             .withColumn("prev", F.lag("day").over(by_customer)))
-    p, nxt, prev = F.col("day"), F.col("next"), F.col("prev")
-    before_next = F.date_sub(nxt, 1)
-    active_end = F.least(F.date_add(p, REPEAT_DAYS), before_next)   # least() skips NULL
-    lapse_start = F.date_add(p, prior_to + 1)
-    churn_end = F.least(F.date_add(p, prior_from), before_next)
-    base_end = F.least(F.date_add(p, prior_from), F.date_add(nxt, prior_to))
-    repeat_end = F.when(F.col("n_orders") > 1, active_end).otherwise(
-        F.when(prev.isNotNull(), F.least(F.date_add(prev, REPEAT_DAYS), before_next)))
-    none = F.array().cast("array<struct<count:string,day:date,step:int>>")
-    events = F.concat(
-        F.coalesce(_changes("base", lapse_start, base_end), none),
-        F.coalesce(F.when(F.col("known"), _changes("churned", lapse_start, churn_end)), none),
-        F.coalesce(_changes("active", p, active_end), none),
-        F.coalesce(_changes("repeat", p, repeat_end), none))
+    # least() skips NULL, so a last purchase has no successor to cut its intervals short.
+    lapse, until_next = f"date_add(day, {prior_to + 1})", "date_sub(next, 1)"
+    active_end = f"least(date_add(day, {REPEAT_DAYS}), {until_next})"
+    intervals = {
+        "base": (lapse, f"least(date_add(day, {prior_from}), date_add(next, {prior_to}))"),
+        "churned": (lapse, f"if(known, least(date_add(day, {prior_from}), {until_next}), null)"),
+        "active": ("day", active_end),
+        "repeat": ("day", f"case when n_orders > 1 then {active_end} when prev is not null "
+                          f"then least(date_add(prev, {REPEAT_DAYS}), {until_next}) end"),
+    }
+    listed = ", ".join(f"named_struct('count', '{c}', 'first', {first}, 'last', {last})"
+                       for c, (first, last) in intervals.items())
+    spans = gaps.selectExpr(*keep, f"inline(filter(array({listed}), i -> i.first <= i.last))")
+    steps = spans.selectExpr(*keep, "count", "inline(array(struct(first as day, 1 as step), "
+                                             "struct(date_add(last, 1) as day, -1 as step)))")
     # Changes before the calendar starts fold into its first day.
-    flat = (with_segments(gaps.select(*keep, F.explode(events).alias("e")), segment)
-            .select("segment", "e.count", "e.step",
-                    F.greatest("e.day", F.lit(first_day)).alias("day"))
+    flat = (with_segments(steps, segment)
+            .withColumn("day", F.greatest("day", F.lit(first_day)))
             .filter(F.col("day") <= F.lit(asof)))
     counts = ["base", "churned", "active", "repeat"]
     daily = flat.groupBy("segment", "day").agg(

@@ -34,7 +34,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Recording the Python line of every column costs more than building the plan; the
+    # setting is fixed once a session exists.
+    builder = SparkSession.builder.appName(app).config(
+        "spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

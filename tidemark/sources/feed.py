@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.tablechange import first_per_key, latest_per_key
 
@@ -79,12 +79,26 @@ def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, Dat
 
 
 def numbered_items(rows: DataFrame, sequence: list[str]) -> DataFrame:
-    """Items 1..quantity per feed row; no row for a quantity below one."""
-    n = F.coalesce("quantity", F.lit(1))
-    items = (rows.filter(n >= 1)
-             .select(*sequence, "order_id",
-                     F.explode(F.sequence(F.lit(1), n)).alias("order_item_id"),
-                     "product_id", F.lit(SELLER).alias("seller_id"),
-                     F.col("purchase_ts").alias("shipping_limit_date"), "price",
-                     F.lit(0).cast("decimal(18,2)").alias("freight_value")))
-    return latest_per_key(items, ["order_id", "order_item_id"], sequence)
+    """Items 1..quantity per feed row; no row for a quantity below one.
+
+    Where rows of one order overlap, the last row wins each number. Per order and quantity
+    only the last row can win anything, so rows shrink to that first; walking an order from
+    its last row back, a row wins the numbers above the largest quantity seen so far. Items
+    are made from those ranges, so only the final ones ever exist.
+    """
+    cols = [*sequence, "product_id", "purchase_ts", "price"]
+    last = (rows.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
+            .filter(F.col("quantity") >= 1)
+            .groupBy("order_id", "quantity")
+            .agg(F.max_by(F.struct(*cols), F.struct(*sequence)).alias("row"))
+            .select("order_id", "quantity", "row.*"))
+    later = (Window.partitionBy("order_id").orderBy(*[F.desc(c) for c in sequence])
+             .rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.coalesce(F.max("quantity").over(later), F.lit(0))
+    ranges = last.withColumn("covered", covered).filter(F.col("quantity") > F.col("covered"))
+    return ranges.select(
+        *sequence, "order_id",
+        F.explode(F.sequence(F.col("covered") + 1, F.col("quantity"))).alias("order_item_id"),
+        "product_id", F.lit(SELLER).alias("seller_id"),
+        F.col("purchase_ts").alias("shipping_limit_date"), "price",
+        F.lit(0).cast("decimal(18,2)").alias("freight_value"))
