@@ -334,7 +334,7 @@ def _judged(values: str = "vals") -> list[str]:
 _STATUS_CTES = [*_ALL_KPIS, _VALUES, _SPECS, *_judged()]
 _STATUS_ROW = f"""
 SELECT kpi, segment, day, cur AS current_value, {rnd('base', 4)} AS baseline,
-  {rnd('std', 4)} AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
+  floor(std * 1e4 + 0.5001e0) / 1e4 AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
   {rnd('chg', 4)} AS change_percent, threshold_type, t AS threshold_value,
   CASE WHEN hit THEN {rnd('over_by', 4)} END AS breach_amount, status, reason,
   true AS alert_enabled, priority AS alert_priority FROM judged"""
