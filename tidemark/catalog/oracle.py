@@ -54,6 +54,10 @@ def rnd(x: str, n: int) -> str:
     return f"(floor(({x}) * {10 ** n}e0 + 5e-1) / {10 ** n}e0)"
 
 
+def settle(x: str, n: int) -> str:
+    return f"(floor(({x}) * {10 ** n}e0 + 0.500001e0) / {10 ** n}e0)"
+
+
 def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -334,7 +338,7 @@ def _judged(values: str = "vals") -> list[str]:
 _STATUS_CTES = [*_ALL_KPIS, _VALUES, _SPECS, *_judged()]
 _STATUS_ROW = f"""
 SELECT kpi, segment, day, cur AS current_value, {rnd('base', 4)} AS baseline,
-  floor(std * 1e4 + 0.5001e0) / 1e4 AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
+  {settle('std', 4)} AS historical_std, CASE WHEN n = 1 THEN 5 ELSE n END AS historical_count,
   {rnd('chg', 4)} AS change_percent, threshold_type, t AS threshold_value,
   CASE WHEN hit THEN {rnd('over_by', 4)} END AS breach_amount, status, reason,
   true AS alert_enabled, priority AS alert_priority FROM judged"""
@@ -485,10 +489,10 @@ _Q = "quantile_cont(CAST(value * 100 AS DOUBLE), {})"
 _STATS = f"""raw AS (SELECT segment, metric, {mean('value')} AS m,
   stddev_pop(CAST(value AS DOUBLE)) AS s, {_Q.format('0.25')} AS q1, {_Q.format('0.5')} AS q2,
   {_Q.format('0.75')} AS q3 FROM ser GROUP BY 1, 2),
-stats AS (SELECT segment, metric, {rnd('m', 2)} AS mean, {rnd('s', 2)} AS std,
+stats AS (SELECT segment, metric, {rnd('m', 2)} AS mean, {settle('s', 2)} AS std,
   floor(q2 + 5e-1) / 100e0 AS median, floor(q3 - q1 + 5e-1) / 100e0 AS iqr,
-  {rnd('m + 2e0 * s', 2)} AS upper_bound_2sigma,
-  {rnd('greatest(0e0, m - 2e0 * s)', 2)} AS lower_bound_2sigma,
+  {settle('m + 2e0 * s', 2)} AS upper_bound_2sigma,
+  {settle('greatest(0e0, m - 2e0 * s)', 2)} AS lower_bound_2sigma,
   floor(q3 + 1.5e0 * (q3 - q1) + 5e-1) / 100e0 AS iqr_upper_outlier,
   floor(greatest(0e0, q1 - 1.5e0 * (q3 - q1)) + 5e-1) / 100e0 AS iqr_lower_outlier FROM raw)"""
 _S60 = [_rollup(60), _SERIES]
@@ -644,9 +648,9 @@ def _fortnight(f: str) -> str:
 
 
 add("measures_daily", f"""
-SELECT * EXCLUDE (prior_day, s), {rnd('s', 4)} AS rolling_std_14d,
-  {rnd('rolling_mean_14d + 2e0 * s', 4)} AS ucl,
-  {rnd('greatest(0e0, rolling_mean_14d - 2e0 * s)', 4)} AS lcl,
+SELECT * EXCLUDE (prior_day, s), {settle('s', 4)} AS rolling_std_14d,
+  {settle('rolling_mean_14d + 2e0 * s', 4)} AS ucl,
+  {settle('greatest(0e0, rolling_mean_14d - 2e0 * s)', 4)} AS lcl,
   CASE WHEN dod_growth_pct < -15 OR on_time_rate_pct < 85 THEN 'CRITICAL ALERT'
        ELSE 'HEALTHY' END AS anomaly
 FROM (SELECT *, CASE WHEN prior_day IS NULL OR prior_day = 0 THEN 0e0
@@ -779,7 +783,7 @@ def _fit(lookback: int) -> list[str]:
     FROM pts GROUP BY 1, 2) JOIN h USING (segment, metric) WHERE i = points)"""]
 
 
-add("holt_fit", f"""SELECT segment, metric, level, trend, {rnd('std_err', 4)} AS std_err,
+add("holt_fit", f"""SELECT segment, metric, level, trend, {settle('std_err', 4)} AS std_err,
   recent_mean, last_day, points FROM fits""", *_fit(45))
 _F = "(level + k * trend)"
 _MARGIN = "1.96e0 * std_err * sqrt(CAST(k AS DOUBLE))"

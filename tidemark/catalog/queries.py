@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions import round_to
+from tidemark.functions import round_to, settle
 from tidemark.operators import (
     evaluate as ev, extent, forecast, incidents, kpivalues as kv, measures as ms,
     quality as dq, rollup, rootcause as rc, scenario, seriesstats as ss, tablechange as tc,
@@ -296,15 +296,10 @@ def _status(m: Mart, segment: str | None = None) -> DataFrame:
 
 
 def _shown(status: DataFrame) -> DataFrame:
-    """Verdict columns rounded for comparison.
-
-    Two history days whose spread ends in a 5 would round by the last bit of the square root;
-    the small addition sends all of them up.
-    """
-    std = F.floor(F.col("historical_std") * 1e4 + 0.5001) / 1e4
+    """Verdict columns rounded for comparison."""
     return status.select(
         "kpi", "segment", "day", "current_value", round_to(F.col("baseline"), 4)
-        .alias("baseline"), std.alias("historical_std"),
+        .alias("baseline"), settle(F.col("historical_std"), 4).alias("historical_std"),
         "historical_count", round_to(F.col("change_percent"), 4).alias("change_percent"),
         "threshold_type", "threshold_value",
         round_to(F.col("breach_amount"), 4).alias("breach_amount"), "status", "reason",
@@ -572,7 +567,7 @@ def measures_by_city(m: Mart) -> DataFrame:
 @query
 def measures_daily(m: Mart) -> DataFrame:
     d = ms.daily_measures(_fact(m))
-    return d.select(*[round_to(F.col(c), 4).alias(c)
+    return d.select(*[settle(F.col(c), 4).alias(c)
                       if c in ("rolling_std_14d", "ucl", "lcl") else F.col(c)
                       for c in d.columns])
 
@@ -659,7 +654,7 @@ def _fits(m: Mart, lookback: int = 45) -> DataFrame:
 @query
 def holt_fit(m: Mart) -> DataFrame:
     return _fits(m).select("segment", "metric", "level", "trend",
-                           round_to(F.col("std_err"), 4).alias("std_err"), "recent_mean",
+                           settle(F.col("std_err"), 4).alias("std_err"), "recent_mean",
                            "last_day", "points")
 
 

@@ -1,2 +1,2 @@
 from tidemark.functions.scalars import (  # noqa: F401
-    days_between, elapsed_micros, in_days, mean_of, percent, round_to, since)
+    days_between, elapsed_micros, in_days, mean_of, percent, round_to, settle, since)

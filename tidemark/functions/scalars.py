@@ -41,6 +41,12 @@ def round_to(value: Column, digits: int) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def settle(value: Column, digits: int) -> Column:
+    """Half-up rounding for square roots: a tie that came out a few bits low still goes up."""
+    scale = float(10 ** digits)
+    return F.floor(value * F.lit(scale) + F.lit(0.500001)) / F.lit(scale)
+
+
 def since(ts: str | Column, asof: date, days: int) -> Column:
     """``ts`` on or after ``asof - days``.
 
