@@ -154,3 +154,26 @@ def test_jdbc_urls():
     assert databases.jdbc_url({"database": "f.db"}) == "jdbc:sqlite:f.db"
     with pytest.raises(ValueError):
         databases.jdbc_url({"type": "oracle", "database": "d"})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+    source = tmp_path / "csv"
+    source.mkdir()
+    (source / "orders.csv").write_text(
+        ",".join(f.name for f in TABLES["orders"].fields) + "\n" + "".join(
+            f"o{i},c{i % 3},delivered,2024-06-{10 + i:02d} 08:00:00,,,"
+            f"2024-06-{12 + i:02d} 08:00:00,2024-06-30 00:00:00\n" for i in range(15)))
+    (source / "order_payments.csv").write_text(
+        ",".join(f.name for f in TABLES["order_payments"].fields) + "\n" + "".join(
+            f"o{i},1,boleto,1,{10 if i == 14 else 100}.00\n" for i in range(15)))
+    tables = str(tmp_path / "tables")
+    assert main(["load", str(source), tables]) == 0
+    assert main(["run", tables]) == 2                     # revenue fell by 90 percent
+    assert main(["audit", tables, "--log", str(tmp_path / "log")]) == 0
+    assert main(["export", tables, str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 8
+    config = tmp_path / "kpis.json"
+    config.write_text('{"kpis": [{"name": "n", "sql_query": "SELECT x FROM absent"}]}')
+    assert main(["run", tables, "--config", str(config)]) == 1
+    assert "daily_revenue" in capsys.readouterr().out

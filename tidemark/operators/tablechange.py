@@ -13,18 +13,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 def _one_per_key(df: DataFrame, keys: list[str], sequence: list[str], pick) -> DataFrame:
     """The row that ``pick`` (max_by or min_by) selects per key.
 
-    An aggregate, so copies of one key combine before the shuffle. Rows with a NULL in the
-    key are all kept, as NULL keys never collide.
+    An aggregate, so copies of one key combine before the shuffle. NULL keys never collide: a
+    row with one is a group of its own, all in the same pass.
     """
     payload = [c for c in df.columns if c not in keys]
-    order = F.struct(*sequence)
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
-    chosen = (df.filter(has_key).groupBy(*keys)
-              .agg(pick(F.struct(F.lit(1).alias("_"), *payload), order).alias("row"))
-              .select(*keys, *[F.col(f"row.{c}").alias(c) for c in payload]))
-    return chosen.select(*df.columns).unionByName(df.filter(~has_key))
+    own = F.when(~has_key, F.monotonically_increasing_id())
+    return (df.withColumn("_own", own).groupBy(*keys, "_own")
+            .agg(pick(F.struct(F.lit(1).alias("_"), *payload), F.struct(*sequence)).alias("row"))
+            .select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c)
+                      for c in df.columns]))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ _SETTINGS = {
     # costs one more (already aggregated) exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Events of one very active user merge into sessions before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Date-limited orders thin the big child tables before those are shuffled. The limit is
     # on the estimated size of the order table, which does not see the date filter, so it is
     # high; what is shipped is a filter of at most 20 MB whatever the tables' size.

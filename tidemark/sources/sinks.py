@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def append_audit(log: DataFrame, path: str) -> None:
@@ -14,20 +14,12 @@ def append_audit(log: DataFrame, path: str) -> None:
 def export_csv(extracts: dict[str, DataFrame], folder: str) -> DataFrame:
     """Each extract as headered CSV parts below ``folder``; returns a manifest.
 
-    Rows are counted on the written files, so an extract is computed once.
+    Rows are counted while they are written.
     """
-    parts = []
+    manifest = []
     for name, df in extracts.items():
-        path = f"{folder}/{name}"
-        df.write.mode("overwrite").option("header", True).csv(path)
-        parts.append(count_csv(df.sparkSession, path, df.schema)
-                     .select(F.lit(name).alias("extract"), F.lit(path).alias("path"), "rows"))
-    manifest = parts[0]
-    for part in parts[1:]:
-        manifest = manifest.unionByName(part)
-    return manifest
-
-
-def count_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).csv(path)
-            .agg(F.count(F.lit(1)).alias("rows")))
+        path, seen = f"{folder}/{name}", Observation(name)
+        (df.observe(seen, F.count(F.lit(1)).alias("rows"))
+         .write.mode("overwrite").option("header", True).csv(path))
+        manifest.append((name, path, seen.get["rows"]))
+    return df.sparkSession.createDataFrame(manifest, "extract string, path string, rows long")
