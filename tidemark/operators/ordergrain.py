@@ -51,5 +51,6 @@ def with_segments(df: DataFrame, column: str | None) -> DataFrame:
     """
     if column is None:
         return df.withColumn("segment", F.lit("ALL"))
-    labels = F.array_compact(F.array(F.lit("ALL"), F.col(column)))
+    labels = F.when(F.col(column).isNull(), F.array(F.lit("ALL"))).otherwise(
+        F.array(F.lit("ALL"), F.col(column)))
     return df.withColumn("segment", F.explode(labels))
