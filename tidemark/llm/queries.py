@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, secrets, simhash
+from . import (decontaminate, htmltext, language, licenses, orderhash, packing, quality, secrets,
+               simhash, urlfilter)
 from .common import table
 
 LANGUAGE_VOCABULARY = "piece_bpe_32k.model"
@@ -19,6 +20,10 @@ def _remainder(k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % k
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -28,6 +33,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"),
                         public_tokenizers.path(PACKING_VOCABULARY))
@@ -37,6 +50,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_order_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> language.Model:
     return language.train(docs.select("doc_id", "text", "lang").filter(
         F.coalesce(_remainder(4) != 2, F.lit(False))), public_tokenizers.path(LANGUAGE_VOCABULARY))
@@ -49,8 +66,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", "quality")
+    found = quality.score(docs, quality.train(docs, known))
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
+                        "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_secret_scan": op2_secret_scan, "op3_decontaminate": op3_decontaminate,
-    "op6_pack": op6_pack, "op7_simhash": op7_simhash, "op9_language": op9_language,
+    f.__name__: f for f in (
+        op1_main_text, op2_secret_scan, op3_decontaminate, op4_url_filter, op5_licenses, op6_pack,
+        op7_simhash, op8_order_hash, op9_language, op10_quality)
 }
 ORACLE: dict[str, str] = {}

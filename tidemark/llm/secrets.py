@@ -109,12 +109,12 @@ def train(samples: DataFrame) -> MarkovRatio:
 
 
 def markov_spans(text: str, model: MarkovRatio, taken: list, threshold: float) -> list:
-    """Long tokens with letters and digits that the ratio calls random, apart from ``taken``."""
+    """Long tokens with letters, not plain words, that the ratio calls random, outside ``taken``."""
     found = []
     for run in _RUN.finditer(text):
         token = run[0]
         if (token.isalpha() and (token.islower() or token.istitle())) or \
-                not any(c.isalnum() for c in token) or any(
+                not any(c.isalpha() for c in token) or any(
                 s < run.end() and run.start() < e for s, e, _ in taken):
             continue
         if model.score(token) >= threshold:
