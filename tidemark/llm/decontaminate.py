@@ -168,17 +168,17 @@ def _extend(k: int, span: int):
     return run
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
+_RESULT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                      ("items", pa.list_(pa.int64())),
                      ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
-_RESULT_DDL = ("doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, "
+_RESULT_DDL = ("doc_id bigint, mark bigint, n_words bigint, n_hit bigint, items array<bigint>, "
                "spans array<struct<first:bigint,last:bigint>>")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, counts, hits in rows(batches):
+    for docs, marks, counts, hits in rows(batches):
         out: list[list] = [[] for _ in _RESULT]
-        for doc, n, found in zip(docs, counts, hits):
+        for doc, mark, n, found in zip(docs, marks, counts, hits):
             spans: list[list[int]] = []
             for first, last in sorted((x["first"], x["last"]) for x in found):
                 if spans and first <= spans[-1][1]:
@@ -186,7 +186,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     spans.append([first, last])
             items = sorted({x["item_id"] for x in found if x["item_id"] is not None})
-            for c, v in zip(out, (doc, n, sum(b - a for a, b in spans), items,
+            for c, v in zip(out, (doc, mark, n, sum(b - a for a, b in spans), items,
                                   [{"first": a, "last": b} for a, b in spans])):
                 c.append(v)
         yield record(_RESULT, out)
@@ -195,8 +195,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, span: int = 13) -> DataFrame:
     """Words of each document that lie in a ``span``-word run of a benchmark item.
 
-    Returns doc_id, n_words, n_hit, items (sorted item ids) and spans (merged word ranges, end
-    exclusive). A null text has no words and no hits. Rows with the same doc_id and text are one
+    Returns doc_id, mark (a hash of text and doc_id), n_words, n_hit, items (sorted item ids) and
+    spans (merged word ranges, end exclusive). A null text has no words and no hits. Rows with the same doc_id and text are one
     document; the same doc_id with different texts gives a row for each text; a null doc_id is
     kept. An item with null or wordless text matches nothing; a null item_id is ignored.
     """
@@ -230,13 +230,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, span: int =
             .agg(F.max("words").alias("n_words"),
                  F.collect_set(F.when(F.col("first").isNotNull(),
                                       F.struct("item_id", "first", "last"))).alias("hits"))
-            .select("doc_id", "n_words", "hits").mapInArrow(_merge, _RESULT_DDL))
+            .select("doc_id", "mark", "n_words", "hits").mapInArrow(_merge, _RESULT_DDL))
 
 
 def is_contaminated(n_words, n_hit):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated rows, its columns as they were."""
+    found = contamination(docs, benchmark)
+    gone = found.filter(is_contaminated(F.col("n_words"), F.col("n_hit"))).select("mark")
+    mark = F.xxhash64(docs["text"].cast("string"), docs["doc_id"].cast("bigint"))
+    return docs.join(gone.distinct(), mark == gone["mark"], "left_anti")
+
+
 def digests(found: DataFrame) -> DataFrame:
     """The contract's columns of ``contamination``'s result."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import record, rows
@@ -192,10 +192,6 @@ def expect(counts: dict[str, list[tuple[str, int]]], pieces: list[str],
     return out
 
 
-def _letters(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-
-
 def train(labelled: DataFrame, vocabulary_path: str, sample: int = 250,
           words: int = 6000) -> Model:
     """Fit piece probabilities on about ``sample`` documents of each language.
@@ -228,22 +224,18 @@ _PREDICTION = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()),
                          ("score", pa.float64())])
 
 
-def _predict(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        for ids, letters, texts in rows(batches, 2000):
-            preds, scores = [], []
-            values = fitted.text_scores(texts) if fitted.languages else None
-            for i, ok in enumerate(letters):
-                if not ok or values is None:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                best = int(values[i].argmax())
-                preds.append(fitted.languages[best])
-                scores.append(float(1 / np.exp(np.minimum(values[i] - values[i][best], 0)).sum()))
-            yield record(_PREDICTION, [ids, preds, scores])
-    return run
+def predictions(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    preds, scores = [], []
+    values = model.text_scores(texts) if model.languages else None
+    for i, text in enumerate(texts):
+        if values is None or not text or not any(map(str.isalpha, text)):
+            preds.append("und")
+            scores.append(0.0)
+            continue
+        best = int(values[i].argmax())
+        preds.append(model.languages[best])
+        scores.append(float(1 / np.exp(np.minimum(values[i] - values[i][best], 0)).sum()))
+    return preds, scores
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,7 +245,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     One row per input row; ties go to the language first by name; null ids are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times languages numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows(batches, 2000):
+            yield record(_PREDICTION, [ids, *predictions(texts, shared.value)])
+
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-            .select("doc_id", _letters(F.col("text")).alias("letters"), "text")
-            .mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double"))
+            .mapInArrow(run, "doc_id bigint, lang_pred string, score double"))
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``; nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                preds, _ = predictions(part.column(at).to_pylist(), shared.value)
+                yield part.filter(pa.array([p != "und" for p in preds], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

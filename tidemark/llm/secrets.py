@@ -55,12 +55,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 class MarkovRatio:
     """Log-probability ratio of characters given the one before: random against ordinary."""
 
-    def __init__(self, samples: list[tuple[str, int]], smooth: float = 0.5):
+    def __init__(self, samples: list[tuple[str, int]], smooth: float = 0.5,
+                 weight: float = 5.0):
         size = len(_ALPHABET)
-        counts = np.full((2, size + 1, size), smooth)
+        counts = np.zeros((2, size + 1, size))
         for token, label in samples:
             codes = self._codes(token)
             np.add.at(counts[label], (np.r_[size, codes[:-1]], codes), 1)
+        # Pairs fall back on single characters, and these on an even spread.
+        single = counts.sum(axis=1, keepdims=True) + smooth
+        counts += weight * single / single.sum(axis=2, keepdims=True)
         logs = np.log(counts / counts.sum(axis=2, keepdims=True))
         self.ratio = logs[1] - logs[0]
 
@@ -73,6 +77,17 @@ class MarkovRatio:
         return float(self.ratio[np.r_[len(_ALPHABET), codes[:-1]], codes].sum())
 
 
+#: Ordinary identifiers, labelled 0 beside the words of the corpus.
+IDENTIFIERS = (
+    "user_name", "getElementById", "max_connections", "content-type", "application/json",
+    "index.html", "README", "HttpServletRequest", "self.assertEqual", "utf-8", "version_2",
+    "BUFFER_SIZE", "toString", "page_count", "last_modified_date", "x86_64-linux-gnu",
+    "static/images/logo", "DatabaseConnectionFactory", "lower_case_with_underscores",
+    "section-heading-title", "TestCaseForReader", "org/example/project/Main", "sha256sum",
+    "background-color", "transaction_isolation_level", "numpy/core/multiarray",
+)
+
+
 def random_samples(spark: SparkSession, n: int = 600) -> DataFrame:
     """Labelled random strings (text, 1): digests of a counter as hexadecimal, base 64 and others."""
     seed = spark.range(n).select(F.sha2(F.col("id").cast("string"), 512).alias("h"))
@@ -105,7 +120,8 @@ def ordinary_samples(docs: DataFrame, n_docs: int = 300, n_words: int = 60_000)
 def train(samples: DataFrame) -> MarkovRatio:
     """Fit both models on a small labelled table (text, label 1 for random)."""
     rows_ = samples.filter("text RLIKE '^[A-Za-z0-9+/_=-]+$'").select("text", "label").collect()
-    return MarkovRatio([(r["text"], int(r["label"])) for r in rows_])
+    return MarkovRatio([(r["text"], int(r["label"])) for r in rows_] + [
+        (x.replace(".", "_"), 0) for x in IDENTIFIERS])
 
 
 def markov_spans(text: str, model: MarkovRatio, taken: list, threshold: float) -> list:

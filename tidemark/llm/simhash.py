@@ -66,14 +66,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > size, bitorder="little").view(np.uint64)[0])
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("print", pa.int64())])
 
 
 def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches):
+        for ids, marks, texts in rows(batches):
             values = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield record(_PRINTS, [ids, pa.array(values)])
+            yield record(_PRINTS, [ids, marks, pa.array(values)])
     return run
 
 
@@ -212,25 +212,47 @@ def roots(edges: DataFrame) -> DataFrame:
         edges = small
 
 
+def row_mark(docs: DataFrame):
+    """A hash that tells rows apart by doc_id and text; repeated rows share it."""
+    return F.xxhash64(docs["text"].cast("string"), docs["doc_id"].cast("bigint"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = BITS,
                     block: int = 4096) -> DataFrame:
-    """doc_id, print (signed 64 bits) and component_id of every document.
+    """doc_id, mark, print (signed 64 bits), component_id and keeper of every document.
 
     Prints link at ``bits`` or fewer differing bits; component_id is the smallest doc_id that can
-    be reached. Texts without words, null ones too, have print zero and link like any other. One
-    row per input row; repeated rows are copies of each other. A null doc_id never names a
-    component unless all its members' ids are null.
+    be reached, and keeper the mark (see ``row_mark``) of that document. Texts without words, null
+    ones too, have print zero and link like any other. One row per input row; repeated rows are
+    copies of each other. A null doc_id never names a component unless all its members' ids are
+    null; of equal ids the row with the smallest mark is the keeper.
     """
-    prints = checkpointed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                                      F.col("text").cast("string").alias("text"))
-                          .mapInArrow(_prints(width), "doc_id bigint, print bigint"))
-    distinct = checkpointed(prints.groupBy("print").agg(F.min("doc_id").alias("low")))
+    prints = checkpointed(
+        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), row_mark(docs).alias("mark"),
+                    docs["text"].cast("string").alias("text"))
+        .mapInArrow(_prints(width), "doc_id bigint, mark bigint, print bigint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    distinct = checkpointed(prints.groupBy("print").agg(first.alias("low")))
     found = roots(links(distinct, bits, block)).withColumnRenamed("node", "print")
     rooted = distinct.join(found, "print", "left").select(
         "print", "low", F.coalesce("root", "print").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(names, "root").select("print", "component_id")
-    return prints.join(classes, "print").select("doc_id", "print", "component_id")
+    names = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    classes = rooted.select("print", "root").join(names, "root").select(
+        "print", F.col("low.doc_id").alias("component_id"), F.col("low.mark").alias("keeper"))
+    return prints.join(classes, "print").select("doc_id", "mark", "print", "component_id",
+                                                "keeper")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component, its columns as they were."""
+    found = near_duplicates(docs)
+    kept = found.filter("mark = keeper").select("mark")
+    once = kept.distinct()
+    marked = docs.select("*", row_mark(docs).alias("_row_mark"))
+    out = marked.join(once, marked["_row_mark"] == once["mark"], "left_semi")
+    if kept.groupBy("mark").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_row_mark"])
+    return out.drop("_row_mark")
 
 
 def digests(found: DataFrame) -> DataFrame:
