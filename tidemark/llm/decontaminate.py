@@ -23,7 +23,7 @@ from .common import WORD_BYTES, record, rows, utf8
 #: Bits of the filter that keeps unrelated k-grams from the shuffle; its size never grows.
 FILTER_BITS = 1 << 20
 _BUCKET = 32768  # bits in one value of bitmap_construct_agg
-_CACHE = 400_000
+_CACHE = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

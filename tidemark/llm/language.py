@@ -21,7 +21,7 @@ from .common import record, rows
 MARK = "▁"
 #: Longest piece that is looked up; longer ones of the vocabulary are left out.
 LONGEST = 12
-_CACHE = 300_000
+_CACHE = 120_000
 _TABLE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +105,7 @@ class Model:
         bound = 8
         while True:
             at = np.flatnonzero((lengths <= bound) & (lengths > (bound // 2 if bound > 8 else 0)))
-            for s in range(0, len(at), chunk := max(1, 400_000 // bound)):
+            for s in range(0, len(at), chunk := max(1, 100_000 // bound)):
                 part = at[s:s + chunk]
                 out[part] = self._forward([MARK + words[i] for i in part], lengths[part])
             if not (lengths > bound).any():
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, 2000):
+        for ids, texts in rows(batches, 400):
             yield record(_PREDICTION, [ids, *predictions(texts, shared.value)])
 
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -262,8 +262,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for first in range(0, batch.num_rows, 400):
+                part = batch.slice(first, 400)
                 preds, _ = predictions(part.column(at).to_pylist(), shared.value)
                 yield part.filter(pa.array([p != "und" for p in preds], pa.bool_()))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, record, rows
 
-_CACHE = 400_000
+_CACHE = 150_000
 #: A space that doesn't begin the token of what follows it.
 _ODD_SPACE = re.compile(r" (?=\s)| \Z")
 
