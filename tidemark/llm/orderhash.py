@@ -16,6 +16,8 @@ K, KEEP, ENTRIES = 2, 2, 32
 #: Low bits of a packed value that hold the position of a k-mer.
 _POSITION = 26
 _MASK = (1 << _POSITION) - 1
+#: Most ranges of ids; beyond it they grow, and a task's window spills.
+MOST_RANGES = 16_383
 
 
 def _let(value: Column, use) -> Column:
@@ -97,14 +99,18 @@ def with_next(docs: DataFrame, per_bucket: int = 2000) -> DataFrame:
     """
     others = [c for c in docs.columns if c != "doc_id"]
     n = docs.select(F.count(F.lit(1))).first()[0]
-    ranges = max(1, -(-n // per_bucket))
+    ranges = min(max(1, -(-n // per_bucket)), MOST_RANGES)
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
     cuts = ids.select(F.percentile_approx(
         "doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts)) if ranges > 1 else []
     bounds = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
     bucket = F.when(F.col("doc_id").isNull() | F.lit(not cuts), F.lit(0)).otherwise(
-        F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
+        # Cuts at or below the id, found by halving steps.
+        F.aggregate(F.array(*(F.lit(1 << b) for b in range(MOST_RANGES.bit_length() - 1, -1, -1))),
+                    F.lit(0), lambda done, step: F.when(
+                        F.get(bounds, done + step - 1) <= F.col("doc_id"), done + step)
+                    .otherwise(done)))
     marked = docs.withColumn("bucket", bucket)
     heads = {r["bucket"]: r["top"] for r in
              docs.select("doc_id").withColumn("bucket", bucket).groupBy("bucket")
