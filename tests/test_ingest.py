@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import types as T
 
 from tidemark.operators import tablechange as tc
 from tidemark.schemas import TABLES
@@ -65,8 +66,20 @@ def test_rebase_moves_by_whole_days_and_keeps_null(spark):
                                 (datetime(2024, 6, 10, 1), datetime(2024, 6, 11))],
                                "a timestamp, b timestamp")
     out = tc.rebase(df, ["a", "b"], tc.shift_days(df.select("a"), ASOF)).collect()
-    assert out[0]["a"] == datetime(2024, 6, 20, 12, 30) and out[0]["b"] is None
-    assert out[1]["a"] == datetime(2024, 6, 29, 1)           # floor of 19 days 23 hours
+    assert out[0]["a"] == datetime(2024, 6, 21, 12, 30) and out[0]["b"] is None
+    assert out[1]["a"] == datetime(2024, 6, 30, 1)           # lands on the anchor day
+    both = tc.rebase_tables({"x": (df, ["a"]), "y": (df, ["b"])}, df.select("a"), ASOF)
+    assert both["y"].collect()[1]["b"] == datetime(2024, 7, 1)
+
+
+def test_quoted_line_breaks_stay_in_their_row(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('id,message,n\n"a","line one\nline ""two""", 1 \nb,NULL,2\n')
+    schema = T.StructType([T.StructField("id", T.StringType()),
+                           T.StructField("message", T.StringType()),
+                           T.StructField("n", T.IntegerType())])
+    rows = csvtables.read_csv(spark, str(tmp_path / "r.csv"), schema, multi_line=True).collect()
+    assert [tuple(r)[::2] for r in rows] == [("a", 1), ("b", 2)]
+    assert rows[0]["message"] == 'line one\nline "two"'
 
 
 def test_purge_drops_orphaned_children(make):

@@ -75,7 +75,7 @@ def test_sessions_close_after_the_gap(spark, files):
 
 def test_upsert_over_batches_keeps_the_last_write(spark, files):
     folder = work_dir(spark, "t")
-    st.upsert_stream(stream(spark, files), folder, ["user_id"], ["ts", "event_id"], "event_id")
+    st.upsert_stream(stream(spark, files), folder, ["user_id"], ["ts", "event_id"])
     got = {r["user_id"]: r["event_id"]
            for r in st.current(spark, folder, ["user_id"], ["ts", "event_id"]).collect()}
     want = {r["user_id"]: r["e"] for r in files[1].groupBy("user_id").agg(
@@ -98,20 +98,92 @@ def test_replayed_batch_replaces_its_output(spark, files, tmp_path):
     assert rt.read_all(spark, str(tmp_path / "log")).count() == 5
 
 
-def test_audit_per_batch_adds_up(spark, files):
-    folder = work_dir(spark, "t")
-    st.audit_stream(stream(spark, files), folder, event_orders)
-    rows = st.audits(spark, folder)
-    assert rows.select("batch_id").distinct().count() == 4
-    orphans = rows.filter("rule_name = 'Orphan Payments Check'").agg(
-        F.sum("failed_count")).first()[0]
-    assert orphans == files[1].filter("event_type = 'error'").count()
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """The same events in six files that each hold rows of all times."""
+    folder = tmp_path_factory.mktemp("mixed")
+    events = build(spark)
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(str(folder / "events.parquet"))
+    return str(folder), events
 
 
-def test_stream_incidents_equal_the_batch_fold(spark, files):
+def test_upsert_takes_rows_of_any_lateness(spark, mixed):
+    folder, keys, order = work_dir(spark, "t"), ["user_id"], ["ts", "event_id"]
+    st.upsert_stream(stream(spark, mixed), folder, keys, order)
+    want = {r["user_id"]: r["e"] for r in mixed[1].groupBy("user_id").agg(
+        F.max_by("event_id", "ts").alias("e")).collect()}
+    for _ in range(2):
+        got = st.current(spark, folder, keys, order)
+        assert {r["user_id"]: r["event_id"] for r in got.collect()} == want
+        assert st.compact(spark, folder, keys, order) == 5
+
+
+def test_audit_does_not_depend_on_batches(spark, files, mixed):
+    want = None
+    for source in (files, mixed):
+        folder = work_dir(spark, "t")
+        st.audit_stream(stream(spark, source), folder, event_orders)
+        got = {r["rule_name"]: r["failed_count"] for r in st.audits(spark, folder).collect()}
+        assert got["Orphan Payments Check"] == files[1].filter("event_type = 'error'").count()
+        assert want in (None, got)
+        want = got
+
+
+def test_payment_may_come_a_batch_after_its_order(spark, tmp_path):
+    rows = [(1, T0, "order"), (1, T0, "payment"), (1, T0, "payment"), (2, T0, "payment")]
+    events = spark.createDataFrame(rows, "id long, ts timestamp, kind string")
+    for k in range(4):
+        spark.createDataFrame(rows[k:k + 1], events.schema).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "events.parquet"))
+
+    def split(df):
+        orders = df.filter("kind = 'order'").select(
+            F.col("id").alias("order_id"), F.col("id").alias("customer_id"),
+            F.lit("delivered").alias("order_status"), F.col("ts").alias("purchase_ts"),
+            F.lit(None).cast("timestamp").alias("delivered_ts"))
+        return orders, df.filter("kind = 'payment'").select(
+            F.col("id").alias("order_id"), F.lit(1).alias("payment_sequential"),
+            F.lit("credit_card").alias("payment_type"), F.lit(5.0).alias("payment_value"))
+
     folder = work_dir(spark, "t")
-    st.incident_stream(incident_log(stream(spark, files)), folder)
-    assert same(st.incident_table(spark, folder), incidents.fold(incident_log(files[1])))
+    st.audit_stream(rt.parquet_stream(spark, str(tmp_path), "events", 1), folder, split)
+    got = {r["rule_name"]: r["failed_count"] for r in st.audits(spark, folder).collect()}
+    assert got["Orphan Payments Check"] == 1
+
+
+def test_stream_incidents_equal_the_batch_fold(spark, files, mixed):
+    for source in (files, mixed):
+        folder = work_dir(spark, "t")
+        st.incident_stream(incident_log(stream(spark, source)), folder)
+        assert same(st.incident_table(spark, folder), incidents.fold(incident_log(source[1])))
+
+
+EVENT = ("kpi_name string, ts timestamp, seq long, kind string, severity string, value double, "
+         "threshold double, description string, actor string, notes string")
+
+
+def test_rejects_and_calls_by_id(spark):
+    def event(name, hour, kind):
+        return (name, None if hour is None else T0 + timedelta(hours=hour), 0, kind, "HIGH", 1.0,
+                2.0, "d", None, None)
+
+    log = spark.createDataFrame([event("a", 1, "alert"), event("b", 2, "alert"),
+                                 event(None, 3, "alert"), event("a", None, "alert")], EVENT)
+    state = incidents.fold(log)
+    ids = {r["kpi_name"]: r["incident_id"] for r in state.collect()}
+    assert set(ids) == {"a", "b"} and incidents.rejects(log).count() == 2
+    calls = spark.createDataFrame(
+        [(ids["a"], T0 + timedelta(hours=5), "me"), ("inc_unknown", T0, "me")],
+        "incident_id string, ts timestamp, actor string")
+    log = log.unionByName(incidents.acknowledge(state, calls))
+    state = incidents.fold(log)
+    assert {r["kpi_name"]: r["status"] for r in state.collect()} == {
+        "a": "ACKNOWLEDGED", "b": "OPEN"}
+    assert incidents.acknowledge(state, calls).count() == 0
+    log = log.unionByName(incidents.resolve(state, calls.withColumnRenamed("actor", "notes")))
+    state = incidents.fold(log)
+    assert {r["kpi_name"]: r["status"] for r in state.collect()} == {"a": "RESOLVED", "b": "OPEN"}
+    assert incidents.resolve(state, calls.withColumnRenamed("actor", "notes")).count() == 0
 
 
 def replay(events):

@@ -32,15 +32,17 @@ class Monitor:
     def kpis(self, segment: str | None = None) -> DataFrame:
         """Verdicts at the anchor day, per ``segment`` (a customer column) if given.
 
-        Specs named like a built-in metric use it; others need a ``sql_query`` over the
-        registered views.
+        A spec with a ``sql_query`` over the registered views uses that, whatever its name; the
+        others must be named like a built-in metric.
         """
         s = self.source
         builtin = {*kpivalues.DAY_KPIS, *kpivalues.DELIVERY_KPIS, *kpivalues.CUSTOMER_KPIS}
         values = kpivalues.kpi_values(s.orders, s.payments, s.customers, s.asof,
                                       s.asof - timedelta(days=evaluate.MONTH_DAYS), segment)
-        status = evaluate.evaluate(values, spec_frame(self.spark, self.specs), s.asof)
-        own = [spec for spec in self.specs if spec.get("name") not in builtin]
+        own = [spec for spec in self.specs
+               if spec.get("sql_query") or spec.get("name") not in builtin]
+        shipped = [spec for spec in self.specs if spec not in own]
+        status = evaluate.evaluate(values, spec_frame(self.spark, shipped), s.asof)
         if own:
             self.register()
             extra = evaluate.evaluate_sql(self.spark, own, spec_frame(self.spark, own), s.asof)

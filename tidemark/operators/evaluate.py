@@ -104,12 +104,13 @@ _ERROR_FIELDS = "kpi string, value string, error string"
 
 
 def sql_kpi_values(spark: SparkSession, specs: list[dict], asof: date,
-                   isolate: bool = False) -> DataFrame:
+                   isolate: bool = True) -> DataFrame:
     """Current value or error of each metric whose spec carries a ``sql_query``.
 
     The query may use ``:asof`` and must return a column ``value``; its first row counts.
-    A query that does not analyse becomes an error row and the others go on. ``isolate``
-    also shields them from errors at run time, at the price of one job per metric.
+    A query that fails, when analysed or at run time, becomes an error row and the others go on.
+    That takes one job per metric; without ``isolate`` all run as one job, which an error at run
+    time ends.
     """
     parts = []
     for spec in specs:
@@ -152,12 +153,14 @@ def with_errors(status: DataFrame, values: DataFrame) -> DataFrame:
     return status.unionByName(failed, allowMissingColumns=True)
 
 
-def sql_history(spark: SparkSession, specs: list[dict], asof: date) -> DataFrame:
+def sql_history(spark: SparkSession, specs: list[dict], asof: date,
+                isolate: bool = False) -> DataFrame:
     """Earlier values ``(kpi, segment, day, value)`` of SQL-defined metrics.
 
     A spec may carry a ``history_query`` that returns ``day, value`` rows, which costs one
     scan. Failing that, a ``sql_query`` using ``:asof`` is asked again for each earlier day;
-    one without ``:asof`` has no history.
+    one without ``:asof`` has no history. ``isolate`` runs each metric by itself, a row a day, and
+    leaves out one that fails.
     """
     out = spark.createDataFrame([], f"kpi string, segment string, day date, value {VALUE}")
 
@@ -168,26 +171,37 @@ def sql_history(spark: SparkSession, specs: list[dict], asof: date) -> DataFrame
     for spec in specs:
         name, query = spec.get("name"), spec.get("sql_query") or ""
         days = MONTH_DAYS if spec.get("comparison_period") == "previous_month" else WEEK_DAYS
+        own = out.limit(0)
         try:
             if spec.get("history_query"):
                 past = spark.sql(spec["history_query"], args={"asof": asof}
                                  if ":asof" in spec["history_query"] else None)
-                out = out.unionByName(row(past, name, F.col("day")))
+                recent = row(past, name, F.col("day").cast("date").alias("day")).filter(
+                    F.col("day") >= F.lit(asof - timedelta(days=days)))
+                own = own.unionByName(recent)
             elif ":asof" in query:
                 for back in range(1, days + 1):
                     day = asof - timedelta(days=back)
                     past = spark.sql(query, args={"asof": day}).limit(1)
-                    out = out.unionByName(row(past, name, F.lit(day).alias("day")))
+                    own = own.unionByName(row(past, name, F.lit(day).alias("day")))
+            if isolate:                          # as many rows as the lookback has days
+                own = spark.createDataFrame(own.collect(), out.schema)
+            out = out.unionByName(own)
         except PySparkException:
             continue                             # reported with the current value
     return out.filter(F.col("value").isNotNull())
 
 
 def evaluate_sql(spark: SparkSession, specs: list[dict], spec_rows: DataFrame, asof: date,
-                 past: DataFrame | None = None) -> DataFrame:
-    """Verdicts of SQL-defined metrics at ``asof``; ``past`` defaults to ``sql_history``."""
-    past = sql_history(spark, specs, asof) if past is None else past
-    current = sql_kpi_values(spark, specs, asof)
+                 past: DataFrame | None = None, isolate: bool = True) -> DataFrame:
+    """Verdicts of SQL-defined metrics at ``asof``; ``past`` defaults to ``sql_history``.
+
+    With ``isolate`` the history of each metric is computed on its own as well, so one that fails
+    at run time leaves the others alone.
+    """
+    current = sql_kpi_values(spark, specs, asof, isolate)
+    if past is None:
+        past = sql_history(spark, specs, asof, isolate)
     today = current.filter(F.col("error").isNull()).select(
         "kpi", F.lit("ALL").alias("segment"), F.lit(asof).alias("day"),
         F.col("value").cast(VALUE).alias("value"))

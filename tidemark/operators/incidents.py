@@ -45,9 +45,49 @@ def _ends(kind: str, pick) -> Column:
     return pick(F.when(F.col("kind") == kind, fields))
 
 
+def rejects(events: DataFrame) -> DataFrame:
+    """Events without a metric or a time: they have no place in any incident."""
+    return events.filter("kpi_name IS NULL OR ts IS NULL")
+
+
+def _placed(events: DataFrame) -> DataFrame:
+    return events.filter("kpi_name IS NOT NULL AND ts IS NOT NULL")
+
+
+def acknowledge(incidents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ack events for open incidents by id; ``ids`` has incident_id, ts, actor.
+
+    Ids that are unknown, acknowledged or resolved give no event.
+    """
+    return _calls(incidents.filter("status = 'OPEN'"), ids, "ack", F.col("actor"),
+                  F.lit(None).cast("string"))
+
+
+def resolve(incidents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Resolve events for unresolved incidents by id; ``ids`` has incident_id, ts, notes.
+
+    Ids that are unknown or resolved give no event.
+    """
+    return _calls(incidents.filter("status <> 'RESOLVED'"), ids, "resolve",
+                  F.lit(None).cast("string"), F.col("notes"))
+
+
+def _calls(incidents, ids, kind, actor, notes) -> DataFrame:
+    """One event for each id, after every event of the same time; the earliest call counts."""
+    none = F.lit(None)
+    called = ids.groupBy("incident_id").agg(
+        F.min_by(F.struct(*[c for c in ids.columns if c != "incident_id"]), "ts").alias("call"))
+    return (incidents.select("incident_id", "kpi_name").join(called, "incident_id")
+            .select("kpi_name", "call.*").select(
+                "kpi_name", "ts", F.lit(2**62).alias("seq"), F.lit(kind).alias("kind"),
+                none.cast("string").alias("severity"), none.cast("double").alias("value"),
+                none.cast("double").alias("threshold"), none.cast("string").alias("description"),
+                actor.alias("actor"), notes.alias("notes")))
+
+
 def fold(events: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Every incident with its current state."""
-    numbered = running_before(events, "kpi_name", F.col("kind") == "resolve", "incident_no",
+    """Every incident with its current state; ``rejects`` has the events that can't take part."""
+    numbered = running_before(_placed(events), "kpi_name", F.col("kind") == "resolve", "incident_no",
                               bucket)
     folded = numbered.groupBy("kpi_name", "incident_no").agg(
         _ends("alert", F.min).alias("opened"), _ends("alert", F.max).alias("latest"),
@@ -78,8 +118,8 @@ def fold(events: DataFrame, bucket: str = "hour") -> DataFrame:
 def compact(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """The few events that still matter: first and last alert and last ack of each
     unresolved incident. Folding them with later events equals folding the whole log."""
-    numbered = running_before(events, "kpi_name", F.col("kind") == "resolve", "incident_no",
-                              bucket)
+    numbered = running_before(_placed(events), "kpi_name", F.col("kind") == "resolve",
+                              "incident_no", bucket)
     folded = numbered.groupBy("kpi_name", "incident_no").agg(
         _ends("alert", F.min).alias("a"), _ends("alert", F.max).alias("b"),
         _ends("ack", F.max).alias("c"), F.count_if(F.col("kind") == "resolve").alias("r"))

@@ -59,10 +59,9 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str],
 
 
 def shift_days(latest: DataFrame, asof: date) -> DataFrame:
-    """One row: whole days from the newest ``latest`` timestamp to the end of ``asof``."""
-    newest = F.max(F.col(latest.columns[0])).cast("timestamp")
-    gap = F.lit(asof).cast("timestamp").cast("long") - newest.cast("long")
-    return latest.agg(F.floor(gap / 86400).cast("int").alias("days"))
+    """One row: days from the day of the newest ``latest`` timestamp to ``asof``."""
+    newest = F.max(F.col(latest.columns[0])).cast("date")
+    return latest.agg(F.date_diff(F.lit(asof), newest).alias("days"))
 
 
 def rebase(df: DataFrame, columns: list[str], days: DataFrame) -> DataFrame:
@@ -73,6 +72,16 @@ def rebase(df: DataFrame, columns: list[str], days: DataFrame) -> DataFrame:
             .select(*[moved(c) if c in columns else F.col(c) for c in df.columns]))
 
 
+def rebase_tables(tables: dict[str, tuple[DataFrame, list[str]]], latest: DataFrame,
+                  asof: date) -> dict[str, DataFrame]:
+    """Move the named timestamp columns of several tables by the same days.
+
+    ``latest`` has the timestamp whose newest day becomes ``asof``.
+    """
+    days = shift_days(latest, asof)
+    return {name: rebase(df, columns, days) for name, (df, columns) in tables.items()}
+
+
 def purge_recent(orders: DataFrame, children: dict[str, DataFrame], asof: date,
                  days: int = 70) -> dict[str, DataFrame]:
     """Drop orders bought since ``asof - days``, then child rows left without an order.

@@ -29,16 +29,24 @@ def clean_strings(df: DataFrame) -> DataFrame:
     return df.select(*[clean(f) for f in df.schema.fields])
 
 
+#: Tables with text that people wrote, which may hold line breaks.
+FREE_TEXT = {"order_reviews", "reviews"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             with_position: bool = False) -> DataFrame:
+             with_position: bool = False, multi_line: bool = False) -> DataFrame:
     """A headered CSV in its declared types; Spark splits the file, no chunk size needed.
 
+    ``multi_line`` keeps line breaks inside quotes; such a file is read whole by one task, so a
+    large table should come as several files.
+
     Values are read as text, cleaned, then cast, so a padded number still parses and an
     unparsable one is NULL. ``with_position`` adds the columns ``POSITION``, which order the
     rows as they stand in the files.
     """
     text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.schema(text).option("header", True).option("escape", '"') \
+        .option("multiLine", multi_line).csv(path)
     position = []
     if with_position:
         raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -61,7 +69,8 @@ def load_tables(spark: SparkSession, folder: str, pattern: str = "{table}.csv",
     for table, schema in TABLES.items():
         path = f"{folder}/{(names or {}).get(table, pattern.format(table=table))}"
         try:
-            df = read_csv(spark, path, schema, with_position=True)
+            df = read_csv(spark, path, schema, with_position=True,
+                          multi_line=table in FREE_TEXT)
         except AnalysisException as e:
             log.warning("%s not loaded: %s", table, str(e).splitlines()[0])
             out[table] = spark.createDataFrame([], schema)

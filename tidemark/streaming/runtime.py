@@ -18,12 +18,11 @@ def parquet_stream(spark: SparkSession, folder: str, name: str,
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(hadoop).isDirectory():
-        stream = reader.parquet(path)
-    else:
+    files = spark.read.parquet(path).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
         stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        stream = reader.parquet(path)
     return stream.select(*[
         F.col(f.name).cast("timestamp").alias(f.name)
         if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields])

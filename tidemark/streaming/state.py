@@ -8,24 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import incidents, quality
 from tidemark.operators.tablechange import latest_per_key
-from tidemark.streaming.runtime import read_all, read_latest, run_batches, write_batch
+from tidemark.streaming.runtime import read_all, run_batches, write_batch
 
 
-def upsert_stream(stream: DataFrame, folder: str, keys: list[str], sequence: list[str],
-                  event_id: str | None = None, ts: str = "ts", delay: str = "1 hour") -> None:
+def upsert_stream(stream: DataFrame, folder: str, keys: list[str],
+                  sequence: list[str]) -> None:
     """Maintain a keyed table as a log of per-batch winners.
 
-    A batch costs what it brings, whatever the size of the table; ``current`` resolves the
-    log and ``compact`` shortens it. ``event_id`` drops events delivered twice within the
-    watermark.
+    A batch costs what it brings, whatever the size of the table; ``current`` resolves the log and
+    ``compact`` shortens it. Rows may come late by any time, and again: the last by ``sequence``
+    wins wherever it arrives.
     """
-    if event_id:
-        stream = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
-
     def merge(df: DataFrame, batch: int) -> None:
         order = F.struct(*sequence)
         payload = F.struct(*df.columns)
@@ -38,54 +36,81 @@ def upsert_stream(stream: DataFrame, folder: str, keys: list[str], sequence: lis
 def current(spark: SparkSession, folder: str, keys: list[str],
             sequence: list[str]) -> DataFrame:
     """The table as of the last batch: the last write of each key."""
-    return latest_per_key(read_all(spark, f"{folder}/log"), keys, sequence)
+    return latest_per_key(_since_compaction(spark, folder).drop("batch"), keys, sequence)
+
+
+def _since_compaction(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest compacted table, if there is one, and the batches after it."""
+    log = spark.read.parquet(f"{folder}/log")
+    try:
+        versions = spark.read.parquet(f"{folder}/compacted")
+    except AnalysisException:                    # never compacted
+        return log
+    upto = versions.agg(F.max("batch")).first()[0]
+    return log.filter(F.col("batch") > upto).unionByName(
+        versions.filter(F.col("batch") == upto))
+
+
+def compact(spark: SparkSession, folder: str, keys: list[str], sequence: list[str]) -> int:
+    """Write the table as of the last batch; later reads start from it. Returns that batch.
+
+    Log folders up to that batch, and older compactions, are no longer read and may be deleted.
+    """
+    last = spark.read.parquet(f"{folder}/log").agg(F.max("batch")).first()[0]
+    write_batch(current(spark, folder, keys, sequence), f"{folder}/compacted", last)
+    return last
 
 
 def audit_stream(stream: DataFrame, folder: str,
                  split: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-    """Run the table rules on every micro-batch; ``split`` names its orders and payments."""
-    def check(df: DataFrame, batch: int) -> None:
-        df.persist()                             # several rules read the batch
+    """Keep the orders and payments of every micro-batch for ``audits``; ``split`` names them.
+
+    Orphans and duplicates can only be told over all that has arrived, so a batch adds its rows
+    and judges nothing by itself.
+    """
+    def keep(df: DataFrame, batch: int) -> None:
+        df.persist()                             # both tables read the batch
         try:
             orders, payments = split(df)
-            results = quality.audit(orders, payments)
-            write_batch(results.drop("description"), f"{folder}/audit", batch)
+            write_batch(orders, f"{folder}/orders", batch)
+            write_batch(payments, f"{folder}/payments", batch)
         finally:
             df.unpersist()
 
-    run_batches(stream, folder, check)
+    run_batches(stream, folder, keep)
 
 
 def audits(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/audit").withColumnRenamed("batch", "batch_id")
+    """The table rules over everything that has arrived, however it was cut into batches."""
+    return quality.audit(read_all(spark, f"{folder}/orders"),
+                         read_all(spark, f"{folder}/payments")).drop("description")
 
 
 def incident_stream(stream: DataFrame, folder: str, bucket: str = "hour") -> None:
-    """Fold alert, ack and resolve events into incidents as they arrive.
+    """Fold alert, ack and resolve events into incidents as they arrive, in any order.
 
-    Between batches only the compacted events of unresolved incidents are carried, at most
-    three per metric. A batch is taken to follow the ones before it.
+    A batch adds its events to the log and folds the whole log of the metrics it touches again,
+    so a late event falls where it belongs; metrics it doesn't touch cost a semi join.
     """
     spark = stream.sparkSession
 
     def advance(df: DataFrame, batch: int) -> None:
-        carried = f"{folder}/carried"
-        log = df.select(*incidents.EVENT_COLUMNS)
-        if batch > 0:
-            previous = spark.read.parquet(f"{carried}/batch={batch - 1}")
-            log = log.unionByName(previous)
-        log.persist()
-        try:
-            state = incidents.fold(log, bucket)
-            write_batch(state.filter("status = 'RESOLVED'"), f"{folder}/closed", batch)
-            write_batch(state.filter("status <> 'RESOLVED'"), f"{folder}/unresolved", batch)
-            write_batch(incidents.compact(log, bucket), carried, batch)
-        finally:
-            log.unpersist()
+        write_batch(df.select(*incidents.EVENT_COLUMNS), f"{folder}/events", batch)
+        log = spark.read.parquet(f"{folder}/events").filter(F.col("batch") <= batch)
+        touched = log.filter(F.col("batch") == batch).select("kpi_name").distinct()
+        again = log.drop("batch").join(touched, "kpi_name", "left_semi")
+        write_batch(incidents.fold(again, bucket), f"{folder}/incidents", batch)
 
     run_batches(stream, folder, advance)
 
 
 def incident_table(spark: SparkSession, folder: str) -> DataFrame:
-    closed = read_all(spark, f"{folder}/closed")
-    return closed.unionByName(read_latest(spark, f"{folder}/unresolved"))
+    """Each metric's incidents from the last batch that touched it."""
+    folded = spark.read.parquet(f"{folder}/incidents")
+    newest = folded.groupBy("kpi_name").agg(F.max("batch").alias("batch"))
+    return folded.join(newest, ["kpi_name", "batch"], "left_semi").drop("batch")
+
+
+def incident_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Events without a metric or a time, which belong to no incident."""
+    return incidents.rejects(read_all(spark, f"{folder}/events"))
