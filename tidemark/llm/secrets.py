@@ -8,7 +8,6 @@ identifiers; where the logarithm of the ratio is high enough the token is a span
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -219,12 +218,6 @@ def brute_force(text: str | None) -> tuple:
             hashlib.sha256(joined.encode()).hexdigest())
 
 
-def entropy_bits(token: str) -> float:
-    """Shannon entropy of a token's characters, for inspection of a scan's results."""
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
-
-
 def redact(docs: DataFrame, samples: DataFrame | None = None,
            threshold: float = 12.0) -> DataFrame:
     """``docs`` with its columns in their order, secrets in ``text`` replaced by a mark.
