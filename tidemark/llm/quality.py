@@ -110,10 +110,10 @@ class RuleEnsemble:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> RuleEnsemble:
-    """Fit on about ``sample`` labelled documents, chosen by a hash of doc_id.
+    """Fit on about ``sample`` labelled documents, chosen by a hash of doc_id; twice that at most.
 
-    ``labels`` has doc_id and quality (0 or 1); rows with a null in either teach nothing. With one
-    label only the ensemble has no rules.
+    ``labels`` has doc_id and quality (0 or 1); rows with a null in either teach nothing, repeated
+    rows and repeated documents of one id count once. With one label only the ensemble has no rules.
     """
     usable = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     sizes = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
@@ -123,11 +123,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> RuleEnsembl
     share = F.lit(0.0)
     for label, n in sizes.items():  # as many of either label, as far as there are
         share = F.when(F.col("quality") == label, min(1.0, sample / len(sizes) / n)).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-                           < share * (1 << 30)).select(F.col("doc_id"), "quality")
-    stats = docs.select("doc_id", "text").join(chosen, "doc_id").select(
-        "doc_id", "quality", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
-    rows = stats.toPandas().sort_values(["doc_id", "quality", *STATISTICS])  # the sample's rows
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    # The draw leaves about ``sample`` rows; the limit makes the bound of the broadcast certain.
+    chosen = (usable.filter(draw < share * (1 << 30)).select("doc_id", "quality").distinct()
+              .orderBy(draw, "doc_id", "quality").limit(2 * sample))
+    stats = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "quality",
+        F.struct(*(c.alias(k) for k, c in statistics(F.col("text")).items())).alias("s"))
+    rows = (stats.groupBy("doc_id", "quality").agg(F.min("s").alias("s"))
+            .select("doc_id", "quality", "s.*").toPandas()  # at most 2 * sample rows
+            .sort_values(["doc_id", "quality"]))
     if rows.empty:
         return RuleEnsemble(0.0, [])
     x, y = rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float)
