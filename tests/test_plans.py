@@ -132,6 +132,25 @@ def test_hot_order_with_a_third_of_all_payments(spark, make):
     assert lost["failed_count"] == n // 3
 
 
+def test_audit_reads_each_table_once(spark, make, no_broadcast, tmp_path):
+    rows = {"orders": [("o", "c", "delivered", "2024-06-01T00:00:00")],
+            "payments": [("o", 1, "boleto", 10), ("o", 1, "boleto", 10), ("gone", 1, "boleto", -1),
+                         (None, 1, "boleto", 1)],
+            "items": [("o", 1), ("gone", 1), ("gone", 2)]}
+    for name, given in rows.items():
+        make(name, given).write.parquet(str(tmp_path / name))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in rows}
+    results = quality.audit(tables["orders"], tables["payments"], items=tables["items"])
+    text = plan(results)
+    assert text.count("FileScan") == 3 and text.count("Exchange hashpartitioning") == 2
+    found = {r["rule_name"]: r["failed_count"] for r in results.collect()}
+    assert found == {
+        "Orders Primary Fields Completeness": 0, "Payment Records Completeness": 1,
+        "Order ID Uniqueness": 0, "Payment Sequence Uniqueness": 1,
+        "Payment Value Domain Validity": 1, "Chronological Delivery Logic": 0,
+        "Orphan Payments Check": 1, "Orphan Line Items Check": 2}
+
+
 def test_hot_metric_is_spread_over_its_time_buckets(spark):
     n = 20_000
     log = spark.range(0, n, 1, 8).select(

@@ -1,4 +1,4 @@
-"""Data-quality audit: one scan per table for row rules, one aggregation per key rule."""
+"""Data-quality audit: one pass over each table, one grouping by order for all of its rules."""
 
 from __future__ import annotations
 
@@ -55,20 +55,61 @@ def _per_rule(one_row: DataFrame, rules: list[str]) -> DataFrame:
     return one_row.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
 
 
-def order_rules(orders: DataFrame) -> DataFrame:
-    counts = orders.agg(
-        F.count_if(_any_null("order_id", "customer_id", "order_status", "purchase_ts"))
-        .alias("orders_complete"),
-        F.count_if(F.col("delivered_ts") < F.col("purchase_ts")).alias("orders_chronology"))
-    return _per_rule(counts, ["orders_complete", "orders_chronology"])
+#: What is counted per order, over all tables.
+_COUNTS = ("orders", "orders_complete", "orders_chronology", "payments", "payments_complete",
+           "payments_domain", "payments_unique", "items")
 
 
-def payment_rules(payments: DataFrame) -> DataFrame:
-    counts = payments.agg(
+def _counts(df: DataFrame, **given: Column) -> DataFrame:
+    return df.select("order_id", *(given.get(c, F.lit(0)).cast("long").alias(c)
+                                   for c in _COUNTS))
+
+
+def order_counts(orders: DataFrame, payments: DataFrame,
+                 items: DataFrame | None = None) -> DataFrame:
+    """Row counts and failures per order, from one pass over each table.
+
+    The tables are stacked, not joined, so the rows of a hot order combine before the exchange by
+    order. Payments combine per key first.
+    """
+    def flag(test: Column) -> Column:
+        return F.when(test, 1).otherwise(0)
+
+    keyed = payments.groupBy("order_id", "payment_sequential").agg(
+        F.count(F.lit(1)).alias("payments"),
         F.count_if(_any_null("payment_value", "payment_type", "order_id"))
         .alias("payments_complete"),
         F.count_if(F.col("payment_value") < 0).alias("payments_domain"))
-    return _per_rule(counts, ["payments_complete", "payments_domain"])
+    rows = _counts(
+        orders, orders=F.lit(1), orders_complete=flag(
+            _any_null("order_id", "customer_id", "order_status", "purchase_ts")),
+        orders_chronology=flag(F.col("delivered_ts") < F.col("purchase_ts")))
+    rows = rows.unionByName(_counts(
+        keyed, payments=F.col("payments"), payments_complete=F.col("payments_complete"),
+        payments_domain=F.col("payments_domain"), payments_unique=flag(F.col("payments") > 1)))
+    if items is not None:
+        rows = rows.unionByName(_counts(items, items=F.lit(1)))
+    return rows.groupBy("order_id").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+def order_rules(orders: DataFrame, payments: DataFrame,
+                items: DataFrame | None = None) -> DataFrame:
+    """Failures of every rule on orders, payments and items; a NULL order id is no orphan."""
+    lost = F.col("order_id").isNotNull() & (F.col("orders") == 0)
+    failures = {
+        "orders_complete": F.sum("orders_complete"),
+        "payments_complete": F.sum("payments_complete"),
+        "orders_unique": F.count_if(F.col("orders") > 1),
+        "payments_unique": F.sum("payments_unique"),
+        "payments_domain": F.sum("payments_domain"),
+        "orders_chronology": F.sum("orders_chronology"),
+        "orphan_payments": F.sum(F.when(lost, F.col("payments"))),
+    }
+    if items is not None:
+        failures["orphan_items"] = F.sum(F.when(lost, F.col("items")))
+    counts = order_counts(orders, payments, items).agg(
+        *(F.coalesce(n, F.lit(0)).alias(rule) for rule, n in failures.items()))
+    return _per_rule(counts, list(failures))
 
 
 def review_rules(reviews: DataFrame) -> DataFrame:
@@ -102,17 +143,9 @@ def audit(orders: DataFrame, payments: DataFrame, reviews: DataFrame | None = No
 
     Rules of a table that is not given are left out.
     """
-    found = [order_rules(orders), payment_rules(payments),
-             duplicate_keys(orders, ["order_id"], "orders_unique"),
-             duplicate_keys(payments, ["order_id", "payment_sequential"], "payments_unique"),
-             orphans(payments, orders, "orphan_payments")]
+    rows = order_rules(orders, payments, items)
     if reviews is not None:
-        found.append(review_rules(reviews))
-    if items is not None:
-        found.append(orphans(items, orders, "orphan_items"))
-    rows = found[0]
-    for part in found[1:]:
-        rows = rows.unionByName(part)
+        rows = rows.unionByName(review_rules(reviews))
     names = ["rule_name", "category", "severity", "description"]
     about = F.create_map(*[x for rule, facts in RULES.items() for x in (
         F.lit(rule), F.struct(*[F.lit(v).alias(k) for k, v in zip(names, facts)]))])
