@@ -1,7 +1,7 @@
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tidemark.operators import tablechange as tc
 from tidemark.schemas import TABLES
@@ -157,6 +157,23 @@ def test_feed_items_equal_row_by_row_replacement(spark):
     assert len(items) == len(expected)
 
 
+def test_feed_seller_and_long_quantities(spark):
+    n = feed._CHUNK
+    rows = [row(1, qty=str(2 * n + 5), product="late"), row(2, qty=str(n), product="over"),
+            row(3, "one", qty=str(n + 1))]
+    out = feed.normalise(feed_frame(spark, rows), ASOF, ["seq"])
+    got = {(r["order_id"], r["product_id"]): (r["low"], r["high"], r["n"]) for r in out["items"]
+           .groupBy("order_id", "product_id").agg(
+               F.min("order_item_id").alias("low"), F.max("order_item_id").alias("high"),
+               F.count_distinct("order_item_id").alias("n")).collect()}
+    assert got == {("o", "late"): (n + 1, 2 * n + 5, n + 5), ("o", "over"): (1, n, n),
+                   ("one", "p"): (1, n + 1, n + 1)}
+    assert [tuple(r) for r in out["sellers"].collect()] == [
+        ("seller_default_2025", "00000", "New York", "NY")]
+    none = feed.normalise(feed_frame(spark, rows[:0]), ASOF, ["seq"])
+    assert none["sellers"].count() == none["items"].count() == 0
+
+
 def test_jdbc_urls():
     assert databases.jdbc_url({"type": "postgresql", "host": "h", "database": "d"}) == \
         "jdbc:postgresql://h:5432/d"

@@ -105,16 +105,15 @@ def _line_pick(where: str, direction: str) -> str:
             f"(PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) = 1")
 
 
+_N, _NOT_N = "l_returnflag = 'N'", "l_returnflag <> 'N'"
 _ABSENT = ("SELECT a.* FROM {a} a WHERE NOT EXISTS (SELECT 1 FROM {b} b WHERE "
            "b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber)")
 add("upsert_latest",
     "SELECT * FROM fresh UNION ALL " + _ABSENT.format(a="old", b="fresh"),
-    f"old AS ({_line_pick(chr(108) + '_returnflag <> ' + repr('N'), 'DESC')})",
-    f"fresh AS ({_line_pick('l_returnflag = ' + repr('N'), 'DESC')})")
+    f"old AS ({_line_pick(_NOT_N, 'DESC')})", f"fresh AS ({_line_pick(_N, 'DESC')})")
 add("insert_if_absent",
     "SELECT * FROM old UNION ALL " + _ABSENT.format(a="fresh", b="old"),
-    f"old AS ({_line_pick('l_returnflag <> ' + repr('N'), 'ASC')})",
-    f"fresh AS ({_line_pick('l_returnflag = ' + repr('N'), 'ASC')})")
+    f"old AS ({_line_pick(_NOT_N, 'ASC')})", f"fresh AS ({_line_pick(_N, 'ASC')})")
 add("table_row_counts", " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {t}" for name, t in (
         ("customers", "c"), ("order_items", "it"), ("order_payments", "p"),
@@ -163,12 +162,17 @@ add("feed_orders", _feed_pick(
 add("feed_payments", _feed_pick(
     "order_id, 1 AS payment_sequential, payment_type, 1 AS payment_installments, "
     "CAST(money AS DOUBLE) AS payment_value", "order_id", "DESC"), _FEED)
+add("feed_sellers", """
+SELECT DISTINCT 'seller_default_2025' AS seller_id, '00000' AS seller_zip_code_prefix,
+  'New York' AS seller_city, 'NY' AS seller_state FROM feed""", _FEED)
 add("feed_items", """
-SELECT order_id, count(*) AS n_items, max(i) AS last_item, CAST(sum(money) AS DOUBLE) AS price
-FROM items GROUP BY order_id""", _FEED,
+SELECT order_id, i AS order_item_id, product_id, 'seller_default_2025' AS seller_id,
+  purchase_ts AS shipping_limit_date, CAST(money AS DOUBLE) AS price,
+  CAST(0 AS DOUBLE) AS freight_value FROM items""", _FEED,
     "numbered AS (SELECT *, unnest(range(1, quantity + 1)) AS i FROM feed WHERE quantity >= 1)",
-    "items AS (" + _feed_pick("order_id, CAST(i AS INTEGER) AS i, money", "order_id, i",
-                              "DESC", "numbered") + ")")
+    "items AS (" + _feed_pick(
+        "order_id, CAST(i AS INTEGER) AS i, product_id, purchase_ts, money", "order_id, i",
+        "DESC", "numbered") + ")")
 add("sql_kpi_errors", """
 SELECT 'orders_of_day' AS kpi, 'judged' AS outcome, CAST(count(*) AS DOUBLE) AS current_value
 FROM o WHERE day = (SELECT d FROM anchor)

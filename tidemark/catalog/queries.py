@@ -187,12 +187,14 @@ def feed_payments(m: Mart) -> DataFrame:
     return _feed_tables(m)["payments"]
 
 
+@query
+def feed_sellers(m: Mart) -> DataFrame:
+    return _feed_tables(m)["sellers"]
+
+
 @query
 def feed_items(m: Mart) -> DataFrame:
-    """Exploded items summed per order, to keep the result readable."""
-    return _feed_tables(m)["items"].groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.max("order_item_id").alias("last_item"),
-        F.sum("price").alias("price"))
+    return _feed_tables(m)["items"]
 
 
 def _sql_kpi_status(m: Mart) -> DataFrame:

@@ -18,6 +18,10 @@ STATUS = {"Delivered": "delivered", "Shipped": "shipped", "Processing": "process
 OTHER_STATUS = "processing"
 RETURNED = ["yes", "true", "1"]
 SELLER, ZIP, STATE = "seller_default_2025", "00000", "XX"
+SELLER_CITY, SELLER_STATE = "New York", "NY"
+
+#: Item numbers in one array.
+_CHUNK = 10_000
 
 
 def order_status(status: Column, returned: Column) -> Column:
@@ -38,10 +42,11 @@ def payment_method(method: Column) -> Column:
 
 
 def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, DataFrame]:
-    """Customers, products, orders, payments and items of a feed.
+    """Customers, products, sellers, orders, payments and items of a feed.
 
     Customers and products keep their first row, orders and payments their last. Items are
-    numbered per quantity; a later feed row of the same order overwrites equal numbers.
+    numbered per quantity; a later feed row of the same order overwrites equal numbers. All items
+    belong to the one stand-in seller; a feed without rows has no seller.
     """
     rows = feed.select(
         *sequence,
@@ -63,6 +68,9 @@ def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, Dat
     products = first_per_key(rows.select(
         *sequence, "product_id", F.col("category").alias("product_category_name")),
         ["product_id"], sequence)
+    sellers = rows.select(
+        F.lit(SELLER).alias("seller_id"), F.lit(ZIP).alias("seller_zip_code_prefix"),
+        F.lit(SELLER_CITY).alias("seller_city"), F.lit(SELLER_STATE).alias("seller_state")).distinct()
     orders = latest_per_key(rows.select(
         *sequence, "order_id", "customer_id", "order_status", "purchase_ts",
         F.when(status != "canceled", bought).alias("approved_ts"),
@@ -73,8 +81,8 @@ def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, Dat
         *sequence, "order_id", F.lit(1).alias("payment_sequential"), "payment_type",
         F.lit(1).alias("payment_installments"), F.col("order_value").alias("payment_value")),
         ["order_id", "payment_sequential"], sequence)
-    tables = {"customers": customers, "products": products, "orders": orders,
-              "payments": payments, "items": numbered_items(rows, sequence)}
+    tables = {"customers": customers, "products": products, "sellers": sellers,
+              "orders": orders, "payments": payments, "items": numbered_items(rows, sequence)}
     return {name: df.drop(*sequence) for name, df in tables.items()}
 
 
@@ -84,7 +92,8 @@ def numbered_items(rows: DataFrame, sequence: list[str]) -> DataFrame:
     Where rows of one order overlap, the last row wins each number. Per order and quantity
     only the last row can win anything, so rows shrink to that first; walking an order from
     its last row back, a row wins the numbers above the largest quantity seen so far. Items
-    are made from those ranges, so only the final ones ever exist.
+    are made from those ranges, so only the final ones ever exist; a long range is cut into
+    chunks first, so no row holds more than ``_CHUNK`` numbers, whatever the quantity.
     """
     cols = [*sequence, "product_id", "purchase_ts", "price"]
     last = (rows.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
@@ -96,9 +105,13 @@ def numbered_items(rows: DataFrame, sequence: list[str]) -> DataFrame:
              .rowsBetween(Window.unboundedPreceding, -1))
     covered = F.coalesce(F.max("quantity").over(later), F.lit(0))
     ranges = last.withColumn("covered", covered).filter(F.col("quantity") > F.col("covered"))
-    return ranges.select(
+    last_chunk = F.floor((F.col("quantity") - F.col("covered") - 1) / _CHUNK).cast("int")
+    chunks = ranges.withColumn("chunk", F.explode(F.sequence(F.lit(0), last_chunk)))
+    first = F.col("covered") + 1 + F.col("chunk") * _CHUNK
+    size = F.least(F.lit(_CHUNK), F.col("quantity") - first + 1)
+    return chunks.select(
         *sequence, "order_id",
-        F.explode(F.sequence(F.col("covered") + 1, F.col("quantity"))).alias("order_item_id"),
+        F.explode(F.sequence(first, first + size - 1)).alias("order_item_id"),
         "product_id", F.lit(SELLER).alias("seller_id"),
         F.col("purchase_ts").alias("shipping_limit_date"), "price",
         F.lit(0).cast("decimal(18,2)").alias("freight_value"))
