@@ -51,7 +51,7 @@ def add(name: str, body: str, *ctes: str) -> None:
 
 
 def rnd(x: str, n: int) -> str:
-    return f"(floor(({x}) * {10 ** n}e0 + 5e-1) / {10 ** n}e0)"
+    return f"(round(CAST(({x}) AS DOUBLE), {n}) + 0e0)"
 
 
 def settle(x: str, n: int) -> str:

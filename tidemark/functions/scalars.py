@@ -36,9 +36,10 @@ def percent(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
 
 
 def round_to(value: Column, digits: int) -> Column:
-    """Half-up rounding of a double on its scaled value."""
+    """Rounding of a double on its scaled value, ties away from zero as SQL's ROUND has them."""
     scale = float(10 ** digits)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    size = F.floor(F.abs(value) * F.lit(scale) + F.lit(0.5))
+    return F.when(value < 0, -size).otherwise(size) / F.lit(scale)
 
 
 def settle(value: Column, digits: int) -> Column:
