@@ -524,7 +524,7 @@ SELECT segs.segment, 'revenue' AS metric, """ + ", ".join(
   'Insufficient operational history for statistical analysis' END AS error
 FROM segs LEFT JOIN stats ON stats.segment = segs.segment AND metric = 'revenue'""",
     _rollup(1), _SERIES, _STATS)
-add("series_anomalies", f"""
+_ANOMALIES = f"""
 SELECT segment, CASE metric WHEN 'revenue' THEN 'Daily Revenue' WHEN 'volume' THEN
   'Order Volume' ELSE 'Average Delivery Time' END AS metric,
   CASE metric WHEN 'revenue' THEN {rnd('cur', 2)} WHEN 'volume' THEN cur
@@ -544,10 +544,18 @@ SELECT segment, CASE metric WHEN 'revenue' THEN 'Daily Revenue' WHEN 'volume' TH
   ELSE printf('Delivery time spiked to %.1f days (baseline: %.1f days).', {rnd('cur', 1)},
     {rnd('mean', 1)}) END AS description
 FROM scored WHERE (metric = 'revenue' AND abs(z) >= 2) OR (metric = 'volume' AND z <= -2)
-  OR (metric = 'delivery' AND z >= 2)""", *_S60, _STATS,
-    """scored AS (SELECT *, CASE WHEN std > 0 THEN (cur - mean) / std END AS z
+  OR (metric = 'delivery' AND z >= 2)"""
+_SCORED = """scored AS (SELECT *, CASE WHEN std > 0 THEN (cur - mean) / std END AS z
   FROM (SELECT segment, metric, CAST(arg_max(value, day) AS DOUBLE) AS cur FROM ser
-        GROUP BY 1, 2) JOIN stats USING (segment, metric))""")
+        GROUP BY 1, 2) JOIN stats USING (segment, metric))"""
+add("series_anomalies", _ANOMALIES, *_S60, _STATS, _SCORED)
+# The same per anchor: a segment's name carries the anchor until the end.
+add("series_anomalies_backtest", f"""
+SELECT * REPLACE (substr(segment, 12) AS segment), CAST(substr(segment, 1, 10) AS DATE) AS anchor
+FROM ({_ANOMALIES})""", _rollup(3 * 242 + 60), _SERIES.replace("ser AS", "known AS", 1),
+    f"""ser AS (SELECT strftime(a.day, '%Y-%m-%d') || ' ' || k.segment AS segment, k.day,
+  k.metric, k.value FROM known k JOIN (SELECT {ANCHOR} - CAST(3 * range AS INTEGER) AS day
+    FROM range(243)) a ON k.day <= a.day AND k.day >= a.day - 60)""", _STATS, _SCORED)
 add("series_timeline", f"""
 SELECT segment, metric, CAST(row_number() OVER (PARTITION BY segment, metric ORDER BY day) - 1
   AS INTEGER) AS position, day, CASE WHEN metric = 'delivery'

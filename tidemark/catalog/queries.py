@@ -510,6 +510,13 @@ def series_anomalies(m: Mart) -> DataFrame:
     return ss.anomalies(series, ss.series_stats(series))
 
 
+@query
+def series_anomalies_backtest(m: Mart) -> DataFrame:
+    """The verdicts of every third day of two years."""
+    anchors = [m.asof - timedelta(days=3 * k) for k in range(243)]
+    return ss.anomalies_at(_series(m, 3 * 242 + 60), anchors)
+
+
 @query
 def series_timeline(m: Mart) -> DataFrame:
     t = ss.timeline(_series(m))
