@@ -388,6 +388,22 @@ def test_quality_of_odd_rows(docs, empty, spark):
     assert quality.train(docs, labels.limit(0)).weighted == []
 
 
+def test_repeats_of_any_length(spark, docs):
+    """A word repeated 100,000 times is scored; all shares equal those of the pattern."""
+    pattern = re.compile(r"(?<!\S)(\S+)(?:\s+\1(?!\S))+", re.ASCII)
+    texts = [t for _, t in TEXTS if t] + [
+        "word " * 100_000, "| | " * 30_000, " a\t\ta a b  b\n\nb c", "a aa a a-a a", "x x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.s for r in rows.select(
+        "doc_id", quality.statistics(rows.text)["repeats"].alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == (len(text) - len(pattern.sub(r"\1", text))) / len(text), text[:60]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))],
+                                   "doc_id bigint, quality int")
+    scored = quality.score(rows, quality.train(rows, labels)).collect()
+    assert len(scored) == len(texts) and all(0 <= r.score <= 1 for r in scored)
+
+
 def test_rules_as_columns_equal_rules_as_arrays(docs):
     rng = np.random.default_rng(3)
     x = rng.random((400, len(quality.STATISTICS))) * 5

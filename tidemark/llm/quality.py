@@ -20,6 +20,21 @@ STATISTICS = ("chars", "words", "mean_word", "distinct", "repeats", "symbols", "
               "pipes", "marks", "letters", "lines")
 
 
+def repeated(text: Column, words: Column) -> Column:
+    """Code points of words that equal the one before them, with the white space between.
+
+    Neighbours are compared one by one: a regex with a backreference would recurse once for every
+    repeat, and a few thousand would overflow a task's stack.
+    """
+    # The white space before each word; the array has one more at the end of the text.
+    both = F.struct(words.alias("words"), F.split(text, r"\S+").alias("gaps"))
+    return F.get(F.transform(F.array(both), lambda b: F.aggregate(
+        F.transform(b["words"], lambda w, i: F.when(
+            w == F.get(b["words"], i - 1), F.length(w) + F.length(F.get(b["gaps"], i)))
+            .otherwise(0)),
+        F.lit(0), lambda s, x: s + x)), F.lit(0))
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a whole text; every one is defined for empty and null texts."""
     text = F.coalesce(text, F.lit(""))
@@ -31,13 +46,11 @@ def statistics(text: Column) -> dict[str, Column]:
 
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     n = F.size(words)
-    # A word is a repeat if it equals the one before it.
-    pairs = F.length(F.regexp_replace(text, r"(?<!\S)(\S+)(?:\s+\1(?!\S))+", "$1"))
     return {
         "chars": F.log1p(chars.cast("double")), "words": F.log1p(n.cast("double")),
         "mean_word": chars / F.greatest(n, F.lit(1)),
         "distinct": F.size(F.array_distinct(words)) / F.sqrt(F.greatest(n, F.lit(1))),
-        "repeats": (chars - pairs) / F.greatest(chars, F.lit(1)),
+        "repeats": repeated(text, words) / F.greatest(chars, F.lit(1)),
         "symbols": share(r"[#*$%&@^~_<>{}\[\]\\=+]+"), "digits": share("[0-9]+"),
         "upper": share(r"\p{Lu}+"), "pipes": share(r"\|+"), "marks": share("[!?]+"),
         "letters": share(r"\p{L}+"),
