@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import (decontaminate, htmltext, language, licenses, orderhash, packing, quality,
                           queries, secrets, simhash, trees, urlfilter)
@@ -368,6 +369,54 @@ def test_occurrences_are_numbered(spark):
     assert near > far
 
 
+def slow_order_hash(text):
+    """Order MinHash by sorting all k-mers for every seed; hashes as Spark's xxhash64."""
+    def h(*values):
+        out = 42
+        for v in values:
+            if v is not None:
+                raw = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+                out = xxhash.xxh64_intdigest(raw, out)
+        return out
+
+    words, high = re.split(r"[ \t\n\x0b\f\r]+", text), 64 - orderhash._POSITION
+    grams = [h(*words[i:i + orderhash.K]) for i in range(max(1, len(words) - orderhash.K + 1))]
+    seen, ids = collections.Counter(), []
+    for g in grams:
+        g >>= 64 - high
+        n = seen[g]
+        seen[g] += 1
+        # The number of the occurrence is an int: four bytes to Spark.
+        ids.append(xxhash.xxh64_intdigest(n.to_bytes(4, "little"), h(g)) >> 64 - high)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    out = []
+    for seed in orderhash.seeds_of(orderhash.ENTRIES):
+        order = sorted(range(len(ids)), key=lambda i: signed(h(ids[i] ^ seed)))
+        value = 0
+        for i in sorted(order[:orderhash.KEEP]):
+            value = h(value, grams[i])
+        out.append(signed(value))
+    return out
+
+
+def test_order_hash_equals_brute_force(spark):
+    texts = [prose(40 + n, n) for n in range(1, 21)] + [
+        "", "a", "x" * 300, "\u65e5\u672c\u8a9e" * 40, "la " * 60 + "end", prose(70, 33), prose(71, 900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: list(r.s) for r in rows.select(
+        "id", orderhash.signature(rows.text).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == slow_order_hash(text), (i, text[:40])
+
+
+def test_order_hash_of_short_texts_that_share_nothing(spark):
+    pairs = [(" ".join(f"a{i}" for i in range(n)), " ".join(f"b{i}" for i in range(n)))
+             for n in range(1, 21)] + [("x" * 200, "x" * 100 + "y" * 100)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(orderhash.likeness(
+        orderhash.signature(F.col("a")), orderhash.signature(F.col("b"))).alias("near"))
+    assert [r.near for r in rows.collect()] == [0.0] * len(pairs)
+
+
 # Quality
 
 def test_quality_on_unseen_documents(spark, docs, empty):

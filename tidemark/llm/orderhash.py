@@ -1,14 +1,16 @@
 """Order MinHash fingerprints, sensitive to edit distance, as column expressions only.
 
 The k-mers of a text are runs of ``k`` words; a k-mer that occurs again gets the number of its
-occurrence, so that all are distinct. One hash of k-mer and number deals them into as many
-buckets as the fingerprint has entries; in each bucket the ``keep`` smallest are selected, put
-back into text order, and their k-mers are hashed as a tuple. Equal texts have equal
+occurrence, so that all are distinct. Every entry has its own seeded hash of k-mer and number: the
+``keep`` smallest of all k-mers are selected, put back into text order, and their k-mers are
+hashed as a tuple. Equal texts have equal
 fingerprints, and the share of equal entries falls with edits and with moved passages alike.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ K, KEEP, ENTRIES = 2, 2, 32
 #: Low bits of a packed value that hold the position of a k-mer.
 _POSITION = 26
 _MASK = (1 << _POSITION) - 1
+#: How many k-mers are expected below the limit that spares sorting all of them for each entry.
+_NEAR = 16
 #: Most ranges of ids; beyond it they grow, and a task's window spills.
 MOST_RANGES = 16_383
 
@@ -25,12 +29,18 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def seeds_of(entries: int) -> list[int]:
+    """Fixed seeds of the entries' hashes."""
+    rng = random.Random(8)
+    return [rng.getrandbits(62) for _ in range(entries)]
+
+
 def signature(text: Column, k: int = K, keep: int = KEEP, entries: int = ENTRIES) -> Column:
-    """Array of ``entries`` hashes of a text; ``entries`` is a power of two.
+    """Array of ``entries`` hashes of a text, each from its own seeded hash of all k-mers.
 
     A text of fewer than ``k`` words has its whole sequence as its only k-mer.
     """
-    shift = 64 - (entries.bit_length() - 1)
+    seeds = F.array(*(F.lit(s) for s in seeds_of(entries)))
 
     def of_words(words):
         count = F.greatest(F.size(words) - (k - 1), F.lit(1))
@@ -55,24 +65,32 @@ def signature(text: Column, k: int = K, keep: int = KEEP, entries: int = ENTRIES
                         (i - done - step >= 0) & same(i, done + step), done + step)
                     .otherwise(done))).otherwise(0)
 
-            return F.sort_array(F.transform(grams, lambda g, i: F.xxhash64(
+            return F.transform(grams, lambda g, i: F.xxhash64(
                 F.shiftrightunsigned(g, _POSITION), occurrence(i)).bitwiseAND(~_MASK)
-                .bitwiseOR(g.bitwiseAND(_MASK))))
-
-        def tuples(hashed):
-            def bucket(x):
-                return F.shiftrightunsigned(x, shift)
-
-            chosen = F.filter(hashed, lambda x, i: (i < keep) | (
-                bucket(F.get(hashed, i - keep)) != bucket(x)))
-            return _let(chosen, lambda c: F.transform(
-                F.sequence(F.lit(0), F.lit(entries - 1)), lambda b: F.aggregate(
-                    F.array_sort(F.transform(F.filter(c, lambda x: bucket(x) == b),
-                                             lambda x: x.bitwiseAND(_MASK).cast("int"))),
-                    F.lit(0).cast("bigint"),
-                    lambda s, i: F.xxhash64(s, gram(i)))))
-
-        return _let(packed, lambda g: _let(numbered(g), tuples))
+                .bitwiseOR(g.bitwiseAND(_MASK)))
+
+        # About _NEAR of the hashes lie at or below this limit.
+        limit = F.when(count <= 2 * _NEAR, F.lit((1 << 63) - 1)).otherwise(
+            (F.lit(_NEAR * 2.0 ** 64) / count - F.lit(2.0 ** 63)).cast("bigint"))
+
+        def tuples(hashed, most):
+            def seeded(x, seed):
+                return F.xxhash64(F.shiftrightunsigned(x, _POSITION).bitwiseXOR(seed))
+
+            def entry(seed):
+                # The smallest are among those below the limit, unless too few lie there.
+                near = F.filter(hashed, lambda x: seeded(x, seed) <= most)
+                enough = _let(near, lambda c: F.when(
+                    F.size(c) >= F.least(F.lit(keep), count), c).otherwise(hashed))
+                least = F.slice(F.array_sort(F.transform(enough, lambda x: F.struct(
+                    seeded(x, seed), x.bitwiseAND(_MASK).cast("int").alias("at")))), 1, keep)
+                return F.aggregate(F.array_sort(F.transform(least, lambda c: c["at"])),
+                                   F.lit(0).cast("bigint"), lambda s, i: F.xxhash64(s, gram(i)))
+
+            return F.transform(seeds, entry)
+
+        return _let(limit, lambda most: _let(packed, lambda g: _let(
+            numbered(g), lambda h: tuples(h, most))))
 
     return _let(F.split(F.coalesce(text, F.lit("")), r"\s+"), of_words)
 
