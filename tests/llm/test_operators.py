@@ -259,6 +259,30 @@ def test_main_text_of_all_pages(spark):
         assert r.text == "\n".join(x for x in plain if x)
 
 
+def page_text(body):
+    return htmltext.main_text(f"<html><body>{body}</body></html>", htmltext.train())
+
+
+LAST = "The last paragraph of the article has quite enough words to stay."
+
+
+def test_article_blocks_beside_link_blocks():
+    footer = "<footer><a>Home</a> | <a>About</a></footer>"
+    menu = "<div><a>Home</a></div><div><a>All the older stories of this site by year</a></div>"
+    assert page_text(f"<article><h1>Title</h1><p>{LAST}</p></article>{footer}") == f"Title\n{LAST}"
+    assert page_text(f"{menu}<article><p>Short</p></article>{menu}") == "Short"
+    assert page_text(f"<article><p>{LAST}</p><p><a>One link only</a></p><p>{LAST}</p></article>") \
+        == f"{LAST}\nOne link only\n{LAST}"
+    assert page_text(f"<div><p>{LAST}</p></div>{footer}") == LAST
+
+
+def test_long_link_blocks_are_not_main_text():
+    long = "<a>All the older stories of this site sorted by year and author</a>"
+    assert page_text(f"<div><p>{LAST}</p></div><div>{long}</div>") == LAST
+    assert page_text(f"<div>{long}</div><div><p>{LAST}</p></div>") == LAST
+    assert page_text(f"<main><p>{LAST}</p><nav>{long}</nav><aside>{long}</aside></main>") == LAST
+
+
 # URLs
 
 def test_url_rules_and_model(spark):

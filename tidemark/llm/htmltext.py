@@ -186,6 +186,27 @@ LABELLED = (
     (2, 0, 0, 0, 1, 1, 0, 0, 0, 0, 0), (6, 0, 4, 0, 3, 0, 0, 0, 0, 0, 0),
     (50, 0, 20, 0, 10, 0, 1, 0, 0, 0, 0), (18, 0.1, 80, 0, 0, 0, 1, 0, 0, 0, 0),
     (4, 0, 2, 0, 60, 0, 1, 1, 0, 1, 0), (2, 1, 60, 0, 3, 1, 1, 1, 1, 0, 0),
+    # Text beside link blocks: menus, link lists, a footer of links; first in an article.
+    (60, 0, 40, 0, 6, 1, 0, 1, 0, 0, 1), (35, 0.05, 30, 0, 1, 1, 0, 1, 0, 0, 1),
+    (9, 0, 50, 0, 3, 1, 0, 1, 0, 0, 1), (4, 0, 30, 0, 2, 1, 0, 1, 0, 0, 1),
+    (25, 0, 2, 1, 8, 1, 0, 1, 0, 0, 1), (90, 0.1, 5, 1, 70, 0, 0, 1, 0, 0, 1),
+    (5, 0, 3, 1, 12, 1, 0, 1, 0, 1, 1), (14, 0.2, 6, 1, 4, 1, 0, 1, 0, 0, 1),
+    (70, 0, 40, 0, 4, 1, 0, 0, 0, 0, 1), (40, 0, 50, 0, 2, 1, 0, 0, 0, 0, 1),
+    (25, 0.1, 60, 0, 8, 1, 0, 0, 0, 0, 1), (55, 0.05, 3, 1, 1, 1, 0, 0, 0, 0, 1),
+    (12, 0, 40, 0, 4, 1, 0, 0, 0, 0, 1), (9, 0, 12, 0, 30, 0, 0, 0, 0, 0, 1),
+    (20, 0.1, 9, 0, 12, 0, 0, 0, 0, 0, 1), (14, 0, 4, 1, 25, 0, 0, 0, 0, 0, 1),
+    (11, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (30, 0.2, 25, 0, 9, 1, 0, 0, 0, 0, 1),
+    # Link blocks: long ones outside the main element, paragraphs of one link in it, asides in it.
+    (9, 1, 4, 1, 8, 1, 0, 0, 0, 0, 0), (15, 1, 30, 0, 20, 0, 0, 0, 0, 0, 0),
+    (30, 0.95, 60, 0, 12, 0, 0, 0, 0, 0, 0), (12, 1, 9, 1, 0, 0, 0, 0, 0, 0, 0),
+    (8, 1, 40, 0, 0, 0, 0, 0, 1, 0, 0), (10, 0.8, 2, 0, 45, 0, 0, 0, 0, 0, 0),
+    (20, 0.9, 0, 0, 70, 0, 0, 0, 0, 0, 0), (11, 1, 12, 1, 10, 0, 0, 0, 1, 0, 0),
+    (40, 1, 25, 0, 60, 0, 0, 0, 0, 0, 0), (70, 0.9, 9, 1, 0, 0, 0, 0, 1, 0, 0),
+    (2, 1, 30, 0, 40, 0, 0, 1, 0, 0, 1), (4, 1, 50, 0, 9, 0, 0, 1, 0, 0, 1),
+    (12, 1, 35, 0, 25, 0, 0, 1, 0, 0, 1), (9, 0.7, 20, 0, 0, 0, 0, 1, 0, 0, 1),
+    (8, 1, 60, 0, 9, 1, 1, 1, 0, 0, 0), (14, 1, 8, 1, 40, 0, 1, 1, 1, 0, 0),
+    (6, 0.9, 30, 0, 20, 0, 1, 1, 0, 0, 0), (20, 0.8, 5, 0, 50, 0, 1, 1, 0, 0, 0),
+    (40, 0.1, 50, 0, 7, 1, 1, 1, 0, 0, 0), (10, 1, 3, 1, 2, 1, 1, 0, 1, 0, 0),
 )
 
 
