@@ -283,6 +283,31 @@ def test_long_link_blocks_are_not_main_text():
     assert page_text(f"<main><p>{LAST}</p><nav>{long}</nav><aside>{long}</aside></main>") == LAST
 
 
+@pytest.mark.parametrize("layout", [
+    "class='has-sidebar'", "class='content with-sidebar'", "class='layout sidebar-right'",
+    "id='page-no-comments'", "class='layout--has_left-sidebar'", "class=widget"])
+def test_wrappers_with_layout_names(layout):
+    body = f"<main><article><h1>Title</h1><p>{LAST}</p></article></main>"
+    assert page_text(f"<div {layout}>{body}</div>") == f"Title\n{LAST}"
+    after = f"<div class='related'><p>{LAST}</p></div>"
+    assert page_text(f"<div {layout}>{body}{after}</div>{after}") == f"Title\n{LAST}"
+
+
+def test_what_stays_aside():
+    ad = f"<p>{LAST}</p>"
+    for aside in (f"<div class='sidebar'>{ad}</div>", f"<div class='no-js nav'>{ad}</div>",
+                  f"<div hidden><article>{ad}</article></div>",
+                  f"<aside><article>{ad}</article></aside>",
+                  f"<main><ol class='comment-list'><article>{ad}</article></ol></main>",
+                  f"<article><div class='ad'>{ad}</div></article>"):
+        assert page_text(aside) == "", aside
+
+
+def test_ids_of_headings_are_no_hints():
+    assert page_text(f"<article><h2 id='related-work'>Related work</h2><p id='naval-history'>{LAST}</p>"
+                     "<h2 id=nav-history>Naval</h2></article>") == f"Related work\n{LAST}\nNaval"
+
+
 # URLs
 
 def test_url_rules_and_model(spark):

@@ -43,6 +43,9 @@ _HINT = re.compile(
     r"modal|newsletter|subscribe|signup|login|menu|nav\w*|breadcrumbs?|side-?bar|footer|header|"
     r"masthead|comments?|replies|reply|disqus|respond|related|recommend\w*|share|sharing|social|"
     r"widget|pagination|pager|toolbar|copyright|disclaimer|tags|teaser)(?:$|[\s_-])", re.I)
+# Names of a layout that has or lacks some part; the element is not that part.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S+", re.I)
+_HEADING = re.compile(r"h\d")
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert",
          "form", "menu", "menubar", "toolbar"}
 
@@ -59,44 +62,56 @@ class Block:
         self.aside, self.main, self.list, self.heading = aside, main, in_list, heading
 
 
-def _apart(name: str, attributes: str, inside_main: bool) -> bool:
+def _apart(name: str, attributes: str) -> str:
+    """What sets an element's inside apart: "sure", a "hint" of its class or id, or nothing."""
     if name in ASIDE:
-        return True
+        return "sure"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for m in _ATTRIBUTE.finditer(attributes):
         key = (m[1] or m[5] or "").lower()
         value = next((g for g in m.group(2, 3, 4) if g is not None), "")
-        if key in ("class", "id") and _HINT.search(value) or \
-                key == "role" and value.lower() in _ROLE or \
+        if key == "role" and value.lower() in _ROLE or \
                 key == "hidden" or key == "aria-hidden" and value.lower() == "true" or \
                 key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return "sure"
+        # The id of a heading or paragraph is a link target made from its words.
+        if (key == "class" or key == "id" and name != "p" and not _HEADING.fullmatch(name)) and \
+                _HINT.search(_LAYOUT.sub("", value)):
+            found = "hint"
+    return found
 
 
 def blocks(html: str | None) -> list[Block]:
-    """Text blocks of a page in their order; an unfinished tag at the end is dropped."""
+    """Text blocks of a page in their order; an unfinished tag at the end is dropped.
+
+    The outermost article or main element ends what a class or id around it hints at.
+    """
     found: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, main
-    depth = {"aside": 0, "main": 0, "a": 0, "list": 0, "heading": 0}
+    stack: list[tuple[str, str, bool]] = []  # name, apart, main
+    depth = {"sure": 0, "hint": 0, "outside": 0, "main": 0, "a": 0, "list": 0, "heading": 0}
     html = html or ""
 
     def flush():
         joined = "".join(text)
         clean = _SPACE.sub(" ", entities.unescape(joined)).strip() if joined else ""
         if clean:
-            found.append(Block(clean, len("".join(linked).split()), depth["aside"] > 0,
-                               depth["main"] > 0, depth["list"] > 0, depth["heading"] > 0))
+            aside = depth["sure"] > 0 or depth["hint"] > depth["outside"]
+            found.append(Block(clean, len("".join(linked).split()), aside, depth["main"] > 0,
+                               depth["list"] > 0, depth["heading"] > 0))
         text.clear()
         linked.clear()
 
     def shift(item, by):
         name, apart, main = item
-        depth["aside"] += by * apart
+        if apart:
+            depth[apart] += by
         depth["main"] += by * main
+        if main and depth["main"] == max(by, 0):  # the outermost opens or closes
+            depth["outside"] = depth["hint"] if by > 0 else 0
         depth["a"] += by * (name == "a")
         depth["list"] += by * (name in ("ul", "ol", "dl"))
         depth["heading"] += by * (len(name) == 2 and name[0] == "h" and name[1].isdigit())
@@ -147,7 +162,7 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        item = (name, _apart(name, m[3], depth["main"] > 0), name in MAIN)
+        item = (name, _apart(name, m[3]), name in MAIN)
         stack.append(item)
         shift(item, 1)
     flush()
