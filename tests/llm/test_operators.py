@@ -358,6 +358,37 @@ def test_licenses_equal_brute_force(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_notices_equal_brute_force(spark):
+    notice = {label: text for label, text in licenses.TEMPLATES}
+    bsd = notice["bsd"].split()
+    mit = notice["mit"].split()  # the later of two
+    texts = [
+        " ".join(mit[:13]) + "\n" + " ".join(mit[13:]),
+        "# " + " ".join(bsd[:9]) + "\n# " + " ".join(bsd[9:]) + "\n",
+        prose(80, 300) + "\n" + "\n".join(bsd) + "\n" + prose(81, 300),
+        " ".join(bsd[:7]) + "\n" + prose(82, 100) + "\n" + " ".join(bsd[7:]),  # too far apart
+        "\n".join(" ".join(t.split()[k:k + 3]) for _, t in licenses.TEMPLATES
+                  for k in range(0, len(t.split()), 3)),
+        " ".join(x for w in bsd for x in (w, "x")), "\n".join(x for w in bsd for x in (w, "x", "y")),
+        "this work is licensed\nunder a creative commons\nattribution license", "licensed\nunder"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    for i, text in enumerate(texts):
+        words = WORD.findall(low(text))
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(words)} "}
+        found = {}
+        for label, t in licenses.TEMPLATES:
+            own, width = {*t.split()}, 2 * len(t.split())
+            parts = [words[k:k + width] for k in range(len(words))]
+            parts += [WORD.findall(low(line)) for line in text.split("\n")]
+            best = max(len(own & {*p}) / len(own) for p in parts)
+            if best >= 0.8:
+                found[label] = max(best, found.get(label, 0))
+        assert got[i].labels == ",".join(sorted(base | {*found})), text[:60]
+        assert got[i].score == (1.0 if base else max(found.values(), default=0.0))
+    assert [got[i].labels for i in (0, 1, 2, 3)] == ["mit", "bsd", "bsd", ""]
+
+
 # Order MinHash
 
 def test_order_hash(spark, docs, empty):

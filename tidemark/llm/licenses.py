@@ -1,11 +1,14 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block (a line of text) matches a template if it holds at least ``threshold`` of the template's
+A block (a line of text, or as many words in a row as the template has twice, across line breaks)
+matches a template if it holds at least ``threshold`` of the template's
 distinct words. Words are ordered by how many documents hold them, rarest first. A block that
 matches must share one of the first ``m - ceil(threshold * m) + 1`` of a template's ``m`` words
 (prefix filter), must be long enough (length filter), and the shared word must stand early enough
 in both for the rest to suffice (positional filter); what passes is verified on the whole sets.
 Words outside all templates can't overlap, so a block is compared by its template words alone.
+Of a matching window no more than the best of each template is told; windows are looked at only
+around a word of the template's prefix, of which each one that matches holds some.
 Everything runs as column expressions.
 """
 
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .orderhash import _let
 
 # Phrases with their labels, and templates of license notices.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
@@ -62,6 +66,43 @@ def _labelled(places: Column, label: str) -> Column:
                                                   i.cast("int").alias("at")))
 
 
+def _best_window(words: Column, own: list[str], need: int, width: int) -> Column:
+    """Most distinct words of ``own`` among ``width`` words in a row; 0 where fewer than ``need``.
+
+    Only windows that hold one of the prefix words count; the others can't reach ``need``.
+    """
+    template = F.array(*map(F.lit, own))
+    heads = own[:len(own) - need + 1]
+
+    def overlap(part):
+        return F.size(F.array_intersect(template, part))
+
+    def around(at):
+        first = F.greatest(at - (width - 1), F.lit(0))
+        near = F.slice(words, first + 1, at + width - first)
+        return _let(near, lambda n: F.when(overlap(n) >= need, F.array_max(F.transform(
+            F.sequence(F.lit(0), at - first),
+            lambda j: overlap(F.slice(n, j + 1, F.lit(width)))))).otherwise(0))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1),
+                      lambda i: F.get(words, i).isin(heads))
+    best = F.coalesce(F.array_max(F.transform(places, around)), F.lit(0))
+    return _let(best, lambda b: F.when(b >= need, b).otherwise(0))
+
+
+def _windows(words: Column, vocabulary: Column, sets: list[tuple]) -> Column:
+    """Label, block -1 and containment of the best window of each template that has one."""
+    def one(w, has, label, own, need, width):
+        # A window can't hold more of the template than the whole text does.
+        held = F.size(F.array_intersect(F.array(*map(F.lit, own)), has)) >= need
+        best = F.when(held, _best_window(w, own, need, width)).otherwise(0)
+        return F.struct(F.lit(label).alias("label"), F.lit(-1).alias("block"),
+                        (best / float(len(own))).alias("containment"))
+
+    return _let(words, lambda w: _let(F.array_intersect(vocabulary, w), lambda has: F.filter(
+        F.array(*(one(w, has, *s) for s in sets)), lambda m: m["containment"] > 0)))
+
+
 def _distinct(labels: Column) -> Column:
     return F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
 
@@ -81,7 +122,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
     """License labels of every whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, matches (label,
-    block and containment of every matching block) and score, the largest containment, or 1 where
+    block and containment of every matching line, and of each template's best window with block
+    -1) and score, the largest containment, or 1 where
     a phrase stands. Rows with the same doc_id and text are one document; the same doc_id with
     different texts gives a row for each text. A null or empty text has no words and no labels.
     """
@@ -119,10 +161,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
         b["has"], F.array(*map(F.lit, heads)))))
     narrow = counted.select(
         "doc_id", "mark", F.size("words").cast("bigint").alias("n_words"), base.alias("base"),
-        lines.alias("lines"))
-    blocks = narrow.select("doc_id", "mark", "n_words", "base",
+        lines.alias("lines"),
+        F.when(some & (F.size("words") > 0), _windows(F.col("words"), vocabulary, [
+            (label, own, need, 2 * len(text.split(" ")))
+            for (label, own, need), (_, text) in zip(sets, templates)])).alias("windows"))
+    blocks = narrow.select("doc_id", "mark", "n_words", "base", "windows",
                            F.explode_outer("lines").alias("b")) \
-        .select("doc_id", "mark", "n_words", F.col("base").alias("base"),
+        .select("doc_id", "mark", "n_words", F.col("base").alias("base"), "windows",
                 F.col("b.block").alias("block"), F.col("b.has").alias("has"))
     probes = blocks.select(
         "*", F.posexplode_outer(F.transform("has", lambda w: w)).alias("q", "word"))
@@ -134,7 +179,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
         "label", "block", (F.col("overlap") / F.size("own")).alias("containment")))
     per = found.groupBy("doc_id", "mark").agg(
         F.first("n_words").alias("n_words"), F.first("base").alias("base"),
-        F.array_sort(F.collect_set(match)).alias("matches"))
+        F.collect_set(match).alias("lines"), F.first("windows").alias("windows"))
+    per = per.withColumn("matches", F.array_sort(F.when(
+        F.col("windows").isNull(), F.col("lines")).otherwise(F.concat("lines", "windows")))
+        ).drop("lines", "windows")
     names, places = F.col("base.label"), F.col("base.at")
     return per.select(
         "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
