@@ -79,6 +79,17 @@ def test_markov_finds_random_tokens_only(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_ordinary_words_of_distinct_documents_and_whole_texts(spark):
+    """A frequent id counts as one document, and late words are drawn as well as early ones."""
+    late = "early " * 2000 + "later " * 2000
+    rows = [(i, late) for i in range(20)] + [(7, late)] * 400 + [(7, None), (None, "none"), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r.text for r in secrets.ordinary_samples(docs, 10, 1000).collect()]
+    assert len(got) <= 1000 and len(got) >= 800  # 100 words of each document, one may be empty
+    share = sum("later" in w.lower() for w in got) / len(got)
+    assert 0.3 < share < 0.7
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

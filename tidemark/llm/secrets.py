@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import record, rows
+from .orderhash import _let
 
 #: Kinds of the base patterns, in the order used for ties.
 KINDS = ("assign", "access", "hex")
@@ -100,20 +101,29 @@ def random_samples(spark: SparkSession, n: int = 600) -> DataFrame:
 def ordinary_samples(docs: DataFrame, n_docs: int = 300, n_words: int = 60_000) -> DataFrame:
     """Labelled ordinary identifiers (text, 0) from at most ``n_docs`` documents.
 
-    The documents are those of the smallest id hashes, so the choice does not depend on partitions.
-    Words of letters stand for themselves; neighbours are also joined by ``_`` and in camel case.
+    The documents are those of the smallest hashes of distinct ids, one text of each, so the choice
+    depends neither on partitions nor on how often an id occurs. Of each text at most
+    ``n_words / n_docs`` words are taken, by a hash of word and place over the whole text. Words of
+    letters stand for themselves; neighbours are also joined by ``_`` and in camel case.
     """
-    ids = [r[0] for r in docs.filter("doc_id IS NOT NULL").select("doc_id")
+    ids = [r[0] for r in docs.filter("doc_id IS NOT NULL").select("doc_id").distinct()
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).collect()]
-    word = F.filter(F.split(F.col("text"), "[^A-Za-z]+"), lambda w: F.length(w) >= 3)
-    pairs = docs.filter(F.col("doc_id").isin(ids)).select(
-        F.slice(word, 1, max(1, n_words // max(1, n_docs))).alias("w"))
-    joined = F.transform(
-        F.col("w"), lambda w, i: F.when(i % 7 == 0, F.concat(w, F.lit("_"), F.coalesce(
-            F.get(F.col("w"), i + 1), F.lit(""))))
-        .when(i % 7 == 1, F.concat(w, F.initcap(F.coalesce(F.get(F.col("w"), i + 1), F.lit("")))))
-        .otherwise(w))
-    return pairs.select(F.explode(joined).alias("text"), F.lit(0).alias("label"))
+    most = max(1, n_words // max(1, n_docs))
+    texts = docs.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def chosen(words):
+        def following(i):
+            return F.coalesce(F.get(words, i + 1), F.lit(""))
+
+        places = F.slice(F.array_sort(F.transform(words, lambda w, i: F.struct(
+            F.xxhash64(w, i).alias("draw"), i.alias("at")))), 1, most)
+        return F.transform(F.transform(places, lambda p: p["at"]), lambda i: F.when(
+            i % 7 == 0, F.concat(F.get(words, i), F.lit("_"), following(i)))
+            .when(i % 7 == 1, F.concat(F.get(words, i), F.initcap(following(i))))
+            .otherwise(F.get(words, i)))
+
+    words = F.filter(F.split(F.col("text"), "[^A-Za-z]+"), lambda w: F.length(w) >= 3)
+    return texts.select(F.explode(_let(words, chosen)).alias("text"), F.lit(0).alias("label"))
 
 
 def train(samples: DataFrame) -> MarkovRatio:
