@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, htmltext, language, licenses, orderhash, packing, quality, secrets,
+from . import (crossalign, decontaminate, htmltext, language, licenses, orderhash, packing, quality, secrets,
                simhash, urlfilter)
 from .common import table
 
@@ -74,9 +74,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY),
+        public_tokenizers.path(LANGUAGE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_secret_scan, op3_decontaminate, op4_url_filter, op5_licenses, op6_pack,
-        op7_simhash, op8_order_hash, op9_language, op10_quality)
+        op7_simhash, op8_order_hash, op9_language, op10_quality, op12_token_links)
 }
 ORACLE: dict[str, str] = {}
