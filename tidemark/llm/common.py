@@ -46,7 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str = "step") -> DataFrame:
     """Write ``df`` as Parquet below the cluster's shared checkpoint folder and read it again."""
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)

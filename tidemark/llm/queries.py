@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (crossalign, decontaminate, htmltext, language, licenses, orderhash, packing, quality, secrets,
-               simhash, urlfilter)
+from . import (crossalign, decontaminate, htmltext, language, licenses, orderhash, packing,
+               prefixtrie, quality, secrets, simhash, urlfilter)
 from .common import table
 
 LANGUAGE_VOCABULARY = "piece_bpe_32k.model"
@@ -80,9 +80,14 @@ def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path(LANGUAGE_VOCABULARY))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_secret_scan, op3_decontaminate, op4_url_filter, op5_licenses, op6_pack,
-        op7_simhash, op8_order_hash, op9_language, op10_quality, op12_token_links)
+        op7_simhash, op8_order_hash, op9_language, op10_quality, op12_token_links,
+        op13_prefix_trie)
 }
 ORACLE: dict[str, str] = {}
