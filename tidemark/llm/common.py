@@ -65,6 +65,21 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[list[li
             yield [part.column(i).to_pylist() for i in range(part.num_columns)]
 
 
+def portions(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[list[list]]:
+    """Columns as Python lists, cut after about ``chars`` code points of the strings in them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            columns = [batch.slice(at, 200).column(i).to_pylist()
+                       for i in range(batch.num_columns)]
+            texts = [i for i in range(batch.num_columns) if pa.types.is_string(batch.column(i).type)]
+            first, size, n = 0, 0, len(columns[0])
+            for i in range(n):
+                size += sum(len(columns[c][i] or "") for c in texts)
+                if size > chars or i + 1 == n:
+                    yield [c[first:i + 1] for c in columns]
+                    first, size = i + 1, 0
+
+
 def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)],

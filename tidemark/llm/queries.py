@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (crossalign, decontaminate, htmltext, language, licenses, orderhash, packing,
-               prefixtrie, quality, secrets, simhash, urlfilter)
+               prefixtrie, quality, secrets, simhash, toxicity, urlfilter)
 from .common import table
 
 LANGUAGE_VOCABULARY = "piece_bpe_32k.model"
@@ -74,6 +74,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").filter(_remainder(3) != 1).select("doc_id", "toxic")
+    found = toxicity.find(docs, toxicity.train(docs, known))
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
+                        "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+                        "n_toxic", "spans")
+
+
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossalign.align(
         table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY),
@@ -87,7 +96,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_secret_scan, op3_decontaminate, op4_url_filter, op5_licenses, op6_pack,
-        op7_simhash, op8_order_hash, op9_language, op10_quality, op12_token_links,
+        op7_simhash, op8_order_hash, op9_language, op10_quality, op11_toxicity, op12_token_links,
         op13_prefix_trie)
 }
 ORACLE: dict[str, str] = {}
