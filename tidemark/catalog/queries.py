@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemark.functions import round_to, settle
 from tidemark.operators import (
     evaluate as ev, extent, forecast, incidents, kpivalues as kv, measures as ms,
-    quality as dq, rollup, rootcause as rc, scenario, seriesstats as ss, tablechange as tc,
-    views)
+    quality as dq, rollup, rootcause as rc, scenario, seriesstats as ss, sketches as sk,
+    tablechange as tc, views)
 from tidemark.operators.ordergrain import payment_totals
 from tidemark.plans import work_dir
 from tidemark.plans.registry import spec_frame
@@ -785,6 +785,85 @@ def stream_upsert(m: Mart) -> DataFrame:
     return st.current(m.spark, folder, ["user_id"], ["ts", "event_id"])
 
 
+def _redelivered(m: Mart) -> DataFrame:
+    """The events in five micro-batches of six days, some delivered again.
+
+    Events divisible by 7 come twice in their batch; those with remainder 1 again a minute later;
+    those divisible by 13 again, as they were, three batches later, behind the watermark; those
+    divisible by 11 again with a time 18 days later, when their first delivery is forgotten.
+    """
+    folder = work_dir(m.spark, "stream-repeats")
+    events = m.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        "event_id", "ts", "user_id")
+    start = events.agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    batch = F.least(F.floor(F.datediff("ts", F.lit(start)) / 6), F.lit(4))
+    plain_, late = events.withColumn("batch", batch), F.expr("interval 18 days")
+    rows = (plain_.unionByName(plain_.filter("event_id % 7 = 0"))
+            .unionByName(plain_.filter("event_id % 7 = 1").withColumn(
+                "ts", F.col("ts") + F.expr("interval 1 minute")).withColumn("batch", batch))
+            .unionByName(plain_.filter("event_id % 13 = 0 AND batch < 2").withColumn(
+                "batch", F.col("batch") + 3))
+            .unionByName(plain_.filter("event_id % 11 = 0 AND batch < 2").withColumn(
+                "ts", F.col("ts") + late).withColumn("batch", F.col("batch") + 3))).persist()
+    for b in range(5):                       # written one after the other, and so read in turn
+        (rows.filter(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append")
+         .parquet(f"{folder}/events.parquet"))
+    rows.unpersist()
+    return rt.parquet_stream(m.spark, folder, "events", files_per_trigger=1)
+
+
+@query
+def stream_deduped(m: Mart) -> DataFrame:
+    """How often each event survives the removal of repeats in front of an upsert."""
+    folder = work_dir(m.spark, "stream-deduped")
+    st.upsert_stream(_redelivered(m), folder, ["event_id", "ts"], ["ts"], ids=["event_id"])
+    return (st.current(m.spark, folder, ["event_id", "ts"], ["ts"])
+            .groupBy("event_id").agg(F.count(F.lit(1)).alias("kept")))
+
+
+@query
+def stream_daily_users(m: Mart) -> DataFrame:
+    return rt.collect_append(sm.daily_users(_stream(m)), work_dir(m.spark, "stream-users"))
+
+
+@query
+def stream_weekly_users(m: Mart) -> DataFrame:
+    """Users of a week from the merged sketches of its days, held against the exact number."""
+    folder = work_dir(m.spark, "stream-sketches")
+    st.user_stream(_unordered(m), folder)
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    merged = sk.users_between(st.daily_user_sketches(m.spark, folder), by=[week])
+    exact = (m.table("events").withColumn("day", F.to_date("ts")).groupBy(week)
+             .agg(F.count_distinct("user_id").alias("exact_users")))
+    return merged.join(exact, "week").select(
+        "week", "exact_users", (F.abs(F.col("users") - F.col("exact_users"))
+                                <= 0.03 * F.col("exact_users")).alias("within_3_percent"))
+
+
+@query
+def quantiles_of_ranges(m: Mart) -> DataFrame:
+    """Quartiles of the first ten and of all days from daily sketches, held against all values."""
+    values = m.table("events").select(F.col("event_type").alias("segment"),
+                                      F.to_date("ts").alias("day"), "value")
+    first = values.agg(F.min("day")).first()[0]
+    sketches = sk.value_sketches(values)
+    rows = None
+    for days in (10, 365):
+        last = first + timedelta(days=days - 1)
+        found = sk.quantiles_between(sketches, first=first, last=last)
+        placed_ = values.filter(F.col("day") <= F.lit(last)).join(F.broadcast(found), "segment")
+        ranks = [F.avg((test(F.col("value"), F.col("quantiles")[i])).cast("double"))
+                 for i in range(3) for test in (lambda v, q: v < q, lambda v, q: v <= q)]
+        checked = placed_.groupBy("segment", "n").agg(F.array(*ranks).alias("r")).select(
+            "segment", F.lit(days).alias("days"), "n", F.forall(F.array(*(
+                F.struct(F.lit(p).alias("p"), F.col("r")[2 * i].alias("lo"),
+                         F.col("r")[2 * i + 1].alias("hi")) for i, p in enumerate((.25, .5, .75)))),
+                lambda x: (x["lo"] <= x["p"] + 0.02) & (x["hi"] >= x["p"] - 0.02))
+            .alias("ranks_within_2_percent"))
+        rows = checked if rows is None else rows.unionByName(checked)
+    return rows
+
+
 @query
 def stream_daily_metrics(m: Mart) -> DataFrame:
     return rt.collect_complete(sm.daily_metrics(_stream(m)),
@@ -821,14 +900,14 @@ def event_orders(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query
 def stream_audit(m: Mart) -> DataFrame:
     folder = work_dir(m.spark, "stream-audit")
-    st.audit_stream(_unordered(m), folder, event_orders)
+    st.audit_stream(_unordered(m), folder, event_orders, settle_every=4)
     return st.audits(m.spark, folder).select("rule_name", "category", "severity", "failed_count")
 
 
 @query
 def stream_incidents(m: Mart) -> DataFrame:
     folder = work_dir(m.spark, "stream-incidents")
-    st.incident_stream(incident_log(_unordered(m)), folder)
+    st.incident_stream(incident_log(_unordered(m)), folder, settle_every=4)
     return st.incident_table(m.spark, folder).drop("incident_id")
 
 

@@ -85,14 +85,21 @@ def _calls(incidents, ids, kind, actor, notes) -> DataFrame:
                 actor.alias("actor"), notes.alias("notes")))
 
 
+def _merged(numbered: DataFrame, *keys: str) -> DataFrame:
+    """What an incident's state follows from, per run of events without a resolve in between."""
+    return numbered.groupBy(*keys).agg(
+        _ends("alert", F.min).alias("opened"), _ends("alert", F.max).alias("latest"),
+        _ends("ack", F.max).alias("ack"), _ends("resolve", F.min).alias("closed"))
+
+
 def fold(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Every incident with its current state; ``rejects`` has the events that can't take part."""
     numbered = running_before(_placed(events), "kpi_name", F.col("kind") == "resolve", "incident_no",
                               bucket)
-    folded = numbered.groupBy("kpi_name", "incident_no").agg(
-        _ends("alert", F.min).alias("opened"), _ends("alert", F.max).alias("latest"),
-        _ends("ack", F.max).alias("ack"), _ends("resolve", F.min).alias("closed"))
+    return _states(_merged(numbered, "kpi_name", "incident_no"))
+
 
+def _states(folded: DataFrame) -> DataFrame:
     def after_open(event):
         e = F.struct(F.col(f"{event}.ts"), F.col(f"{event}.seq"))
         return F.coalesce(e > F.struct(F.col("opened.ts"), F.col("opened.seq")), F.lit(False))
@@ -115,6 +122,49 @@ def fold(events: DataFrame, bucket: str = "hour") -> DataFrame:
         F.col("closed.ts").alias("resolved_at"))
 
 
+#: Slot of the events that belong to no incident.
+NO_SLOT = "none"
+
+
+def slot(width: str = "day") -> Column:
+    """The time slot of an event, as text that sorts by time."""
+    lost = F.col("kpi_name").isNull() | F.col("ts").isNull()
+    start = F.date_trunc(width, F.col("ts").cast("timestamp"))
+    return F.when(lost, NO_SLOT).otherwise(
+        F.concat(F.lit("t"), F.date_format(start, "yyyy-MM-dd-HH")))
+
+
+def pieces(events: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Summaries of the events of each metric and ``slot``: one row for each stretch between
+    resolves, (kpi_name, slot, n, opened, latest, ack, closed), ``n`` counting the slot's resolves
+    before it.
+
+    A slot's rows depend on its own events alone, and ``assemble`` puts the rows of all slots
+    together, so new events cost the slots they fall into, however late they come.
+    """
+    run = (events.filter(F.col("slot") != NO_SLOT)
+           .withColumn("run", F.struct("kpi_name", "slot")))
+    numbered = running_before(run, "run", F.col("kind") == "resolve", "n", bucket)
+    return _merged(numbered, "run", "n").select("run.*", "n", "opened", "latest", "ack", "closed")
+
+
+def assemble(pieces: DataFrame) -> DataFrame:
+    """The incidents of all slots' pieces; equals ``fold`` of their events.
+
+    The first piece of a slot goes on where the slots before it end; only pieces meet here.
+    """
+    before = (Window.partitionBy("kpi_name").orderBy("slot")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    resolves = (pieces.groupBy("kpi_name", "slot").agg(F.count("closed").alias("r"))
+                .select("kpi_name", "slot", F.coalesce(F.sum("r").over(before), F.lit(0))
+                        .alias("earlier")))
+    joined = pieces.join(resolves, ["kpi_name", "slot"]).groupBy(
+        "kpi_name", (F.col("earlier") + F.col("n")).alias("incident_no")).agg(
+        F.min("opened").alias("opened"), F.max("latest").alias("latest"),
+        F.max("ack").alias("ack"), F.min("closed").alias("closed"))
+    return _states(joined)
+
+
 def compact(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """The few events that still matter: first and last alert and last ack of each
     unresolved incident. Folding them with later events equals folding the whole log."""

@@ -42,14 +42,14 @@ RULES = {
 }
 
 
-def _any_null(*columns: str) -> Column:
+def any_null(*columns: str) -> Column:
     test = F.col(columns[0]).isNull()
     for c in columns[1:]:
         test = test | F.col(c).isNull()
     return test
 
 
-def _per_rule(one_row: DataFrame, rules: list[str]) -> DataFrame:
+def per_rule(one_row: DataFrame, rules: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("failed_count"))
              for r in rules]
     return one_row.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
@@ -77,12 +77,12 @@ def order_counts(orders: DataFrame, payments: DataFrame,
 
     keyed = payments.groupBy("order_id", "payment_sequential").agg(
         F.count(F.lit(1)).alias("payments"),
-        F.count_if(_any_null("payment_value", "payment_type", "order_id"))
+        F.count_if(any_null("payment_value", "payment_type", "order_id"))
         .alias("payments_complete"),
         F.count_if(F.col("payment_value") < 0).alias("payments_domain"))
     rows = _counts(
         orders, orders=F.lit(1), orders_complete=flag(
-            _any_null("order_id", "customer_id", "order_status", "purchase_ts")),
+            any_null("order_id", "customer_id", "order_status", "purchase_ts")),
         orders_chronology=flag(F.col("delivered_ts") < F.col("purchase_ts")))
     rows = rows.unionByName(_counts(
         keyed, payments=F.col("payments"), payments_complete=F.col("payments_complete"),
@@ -109,13 +109,13 @@ def order_rules(orders: DataFrame, payments: DataFrame,
         failures["orphan_items"] = F.sum(F.when(lost, F.col("items")))
     counts = order_counts(orders, payments, items).agg(
         *(F.coalesce(n, F.lit(0)).alias(rule) for rule, n in failures.items()))
-    return _per_rule(counts, list(failures))
+    return per_rule(counts, list(failures))
 
 
 def review_rules(reviews: DataFrame) -> DataFrame:
     counts = reviews.agg(F.count_if(~F.col("review_score").between(1, 5))
                          .alias("review_bounds"))
-    return _per_rule(counts, ["review_bounds"])
+    return per_rule(counts, ["review_bounds"])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
@@ -146,6 +146,11 @@ def audit(orders: DataFrame, payments: DataFrame, reviews: DataFrame | None = No
     rows = order_rules(orders, payments, items)
     if reviews is not None:
         rows = rows.unionByName(review_rules(reviews))
+    return described(rows)
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Names, verdicts and meanings for rows of rule and failed_count."""
     names = ["rule_name", "category", "severity", "description"]
     about = F.create_map(*[x for rule, facts in RULES.items() for x in (
         F.lit(rule), F.struct(*[F.lit(v).alias(k) for k, v in zip(names, facts)]))])
