@@ -907,7 +907,8 @@ def stream_audit(m: Mart) -> DataFrame:
 @query
 def stream_incidents(m: Mart) -> DataFrame:
     folder = work_dir(m.spark, "stream-incidents")
-    st.incident_stream(incident_log(_unordered(m)), folder, settle_every=4)
+    st.incident_stream(incident_log(_unordered(m)), folder, "week", settle_every=4,
+                       few_files=False)
     return st.incident_table(m.spark, folder).drop("incident_id")
 
 

@@ -134,18 +134,21 @@ def slot(width: str = "day") -> Column:
         F.concat(F.lit("t"), F.date_format(start, "yyyy-MM-dd-HH")))
 
 
-def pieces(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def pieces(events: DataFrame) -> DataFrame:
     """Summaries of the events of each metric and ``slot``: one row for each stretch between
     resolves, (kpi_name, slot, n, opened, latest, ack, closed), ``n`` counting the slot's resolves
     before it.
 
     A slot's rows depend on its own events alone, and ``assemble`` puts the rows of all slots
-    together, so new events cost the slots they fall into, however late they come.
+    together, so new events cost the slots they fall into, however late they come. A task sorts
+    one metric's events of one slot; the exchange by both serves the sums, too.
     """
-    run = (events.filter(F.col("slot") != NO_SLOT)
-           .withColumn("run", F.struct("kpi_name", "slot")))
-    numbered = running_before(run, "run", F.col("kind") == "resolve", "n", bucket)
-    return _merged(numbered, "run", "n").select("run.*", "n", "opened", "latest", "ack", "closed")
+    before = (Window.partitionBy("kpi_name", "slot").orderBy("ts", "seq")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    resolved = F.when(F.col("kind") == "resolve", 1).otherwise(0)
+    numbered = events.filter(F.col("slot") != NO_SLOT).withColumn(
+        "n", F.coalesce(F.sum(resolved).over(before), F.lit(0)))
+    return _merged(numbered, "kpi_name", "slot", "n")
 
 
 def assemble(pieces: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ replaces its output and nothing is counted twice.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -120,10 +121,15 @@ def audit_stream(stream: DataFrame, folder: str,
     run_batches(stream, folder, count)
 
 
+def _last_batch(table: DataFrame) -> int:
+    """The newest batch of a table, from the names of its files."""
+    return max(int(re.search(r"/batch=(\d+)/", f).group(1)) for f in table.inputFiles())
+
+
 def _settled_until(spark: SparkSession, path: str) -> int:
     """The last batch that the newest settled version covers, or -1."""
     try:
-        return spark.read.parquet(path).agg(F.max("batch")).first()[0]
+        return _last_batch(spark.read.parquet(path))
     except AnalysisException:                    # never settled
         return -1
 
@@ -185,7 +191,7 @@ def _audit_totals(spark: SparkSession, folder: str, last: int, upto: int | None
 
 def settle_audit(spark: SparkSession, folder: str) -> int:
     """Write the rule totals as of the last batch; later reads start there. Returns that batch."""
-    last = spark.read.parquet(f"{folder}/counters").agg(F.max("batch")).first()[0]
+    last = _last_batch(spark.read.parquet(f"{folder}/counters"))
     before = _settled_until(spark, f"{folder}/totals")
     if last > before:
         write_batch(_audit_totals(spark, folder, before, last), f"{folder}/totals", last)
@@ -201,18 +207,20 @@ def audits(spark: SparkSession, folder: str) -> DataFrame:
 # Incidents: events by time slot, and summaries of the slots that have been settled
 
 def incident_stream(stream: DataFrame, folder: str, width: str = "day",
-                    settle_every: int | None = None) -> None:
+                    settle_every: int | None = None, few_files: bool = True) -> None:
     """Keep alert, ack and resolve events by time slot, in any order of arrival.
 
     A batch costs what it brings. ``settle_incidents`` (here, after every ``settle_every``
-    batches) summarises the slots that batches have touched since the last time.
+    batches) summarises the slots that batches have touched since the last time. ``few_files``
+    costs an exchange a batch, which small batches of one file don't need.
     """
     spark = stream.sparkSession
 
     def keep(df: DataFrame, batch: int) -> None:
-        # Few files a slot; a slot with most of the rows is split.
         rows = df.select(*incidents.EVENT_COLUMNS).withColumn("slot", incidents.slot(width))
-        (rows.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot")
+        if few_files:                            # and a slot with most of the rows is split
+            rows = rows.hint("rebalance", "slot")
+        (rows.write.mode("overwrite").partitionBy("slot")
          .parquet(f"{folder}/events/batch={batch}"))
         if settle_every and (batch + 1) % settle_every == 0:
             settle_incidents(spark, folder)
@@ -240,17 +248,19 @@ def touched_events(spark: SparkSession, folder: str,
 def _settled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of each metric and slot from the version that touched it last."""
     versions = spark.read.parquet(f"{folder}/pieces")
+    if len({re.search(r"/batch=\d+/", f).group() for f in versions.inputFiles()}) == 1:
+        return versions
     newest = versions.groupBy("kpi_name", "slot").agg(F.max("batch").alias("batch"))
     return versions.join(newest, ["kpi_name", "slot", "batch"], "left_semi")
 
 
-def settle_incidents(spark: SparkSession, folder: str, bucket: str = "hour") -> int:
+def settle_incidents(spark: SparkSession, folder: str) -> int:
     """Write the pieces of the slots touched since the last time. Returns the last batch."""
-    last = spark.read.parquet(f"{folder}/events").agg(F.max("batch")).first()[0]
+    last = _last_batch(spark.read.parquet(f"{folder}/events"))
     before = _settled_until(spark, f"{folder}/pieces")
     if last > before:
         _, events = touched_events(spark, folder, before)
-        write_batch(incidents.pieces(events, bucket), f"{folder}/pieces", last)
+        write_batch(incidents.pieces(events), f"{folder}/pieces", last)
     return last
 
 
@@ -264,18 +274,17 @@ def compact_incidents(spark: SparkSession, folder: str) -> int:
     return last
 
 
-def incident_table(spark: SparkSession, folder: str, bucket: str = "hour") -> DataFrame:
+def incident_table(spark: SparkSession, folder: str) -> DataFrame:
     """Every incident as of the last batch: settled slots, and those touched since folded anew."""
     settled = _settled_until(spark, f"{folder}/pieces")
-    last = spark.read.parquet(f"{folder}/events").agg(F.max("batch")).first()[0]
+    last = _last_batch(spark.read.parquet(f"{folder}/events"))
     if settled < 0:
-        return incidents.assemble(incidents.pieces(
-            touched_events(spark, folder, settled)[1], bucket))
+        return incidents.assemble(incidents.pieces(touched_events(spark, folder, settled)[1]))
     known = _settled_pieces(spark, folder).drop("batch")
     if last > settled:
         touched, events = touched_events(spark, folder, settled)
         known = known.join(touched, ["kpi_name", "slot"], "left_anti").unionByName(
-            incidents.pieces(events, bucket))
+            incidents.pieces(events))
     return incidents.assemble(known)
 
 
