@@ -611,6 +611,11 @@ add("order_fact", _FACT_ROW, _FACT)
 add("recent_orders", f"{_FACT_ROW} WHERE order_date >= {ANCHOR} - 90", _FACT)
 add("daily_summary", "SELECT * FROM daily", _DAILY)
 add("daily_extract", "SELECT * FROM daily", _DAILY)
+add("daily_summary_refreshed", "SELECT * FROM daily", _DAILY)
+add("order_fact_refreshed", _FACT_ROW, _FACT)
+add("change_by_buckets", """
+SELECT c_custkey, CASE WHEN c_custkey % 40 = 8 THEN 'renamed' ELSE c_name END AS c_name, c_acctbal
+FROM customer WHERE c_custkey % 40 <> 9 AND NOT c_acctbal < -900""")
 _REGION = f"""region_rows AS (SELECT customer_state, customer_city,
   count(DISTINCT o.order_id) AS total_orders,
   CAST(sum(payment_value) AS DOUBLE) AS state_revenue, {cents('payment_value')} AS state_aov,

@@ -7,16 +7,16 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions import round_to, settle
+from tidemark.functions import round_to, settle, since
 from tidemark.operators import (
-    evaluate as ev, extent, forecast, incidents, kpivalues as kv, measures as ms,
+    evaluate as ev, extent, forecast, incidents, kpivalues as kv, liveviews, measures as ms,
     quality as dq, rollup, rootcause as rc, scenario, seriesstats as ss, sketches as sk,
     tablechange as tc, views)
 from tidemark.operators.ordergrain import payment_totals
 from tidemark.plans import work_dir
 from tidemark.plans.registry import spec_frame
 from tidemark.schemas import SCENARIO
-from tidemark.sources import csvtables, databases, feed, sinks
+from tidemark.sources import csvtables, databases, feed, parts, sinks
 from tidemark.sources.conformed import Mart
 from tidemark.streaming import metrics as sm, runtime as rt, state as st
 
@@ -564,6 +564,60 @@ def daily_summary(m: Mart) -> DataFrame:
     return views.daily_summary(m.orders, m.payments)
 
 
+def _earlier(m: Mart) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orders, payments) as they were, and the ids of what has changed since in the last weeks.
+
+    Of the orders of the newest 20 days, those divisible by 5 had not come yet, those with
+    remainder 1 were a day earlier, those with remainder 2 had other payments, and copies of those
+    with remainder 3 were there that have gone.
+    """
+    kind = F.when(since("purchase_ts", m.asof, 20), F.col("order_id") % 5)
+    moved = m.orders.filter(kind.isNull() | (kind != 0)).withColumn("purchase_ts", F.when(
+        kind == 1, F.col("purchase_ts") - F.expr("interval 1 day"))
+        .otherwise(F.col("purchase_ts")))
+    copies = m.orders.filter(kind == 3).withColumn("order_id", -F.col("order_id"))
+    other = m.orders.filter(kind == 2).select("order_id", F.lit(1).alias("more"))
+    money = m.payments.schema["payment_value"].dataType
+    paid = m.payments.join(other, "order_id", "left").withColumn("payment_value", (
+        F.col("payment_value") + F.coalesce("more", F.lit(0))).cast(money)).drop("more")
+    ids = m.orders.filter(kind < 4).select("order_id")
+    return moved.unionByName(copies), paid, ids.unionByName(copies.select("order_id"))
+
+
+@query
+def daily_summary_refreshed(m: Mart) -> DataFrame:
+    """The daily summary built over earlier tables, then brought in line day by day."""
+    folder = work_dir(m.spark, "live-daily")
+    orders, payments, changed = _earlier(m)
+    liveviews.build_daily(orders, payments, folder, "month")
+    liveviews.refresh_daily(orders, m.orders, m.payments, changed, folder, "month")
+    return liveviews.read(m.spark, folder)
+
+
+@query
+def order_fact_refreshed(m: Mart) -> DataFrame:
+    folder = work_dir(m.spark, "live-facts")
+    orders, _, changed = _earlier(m)
+    liveviews.build_facts(orders, m.customers, m.payments, m.reviews, folder, "month")
+    liveviews.refresh_facts(orders, m.orders, m.customers, m.payments, m.reviews, changed, folder,
+                            "month")
+    return liveviews.read(m.spark, folder)
+
+
+@query
+def change_by_buckets(m: Mart) -> DataFrame:
+    """Customers with some rows put in and some taken out, by rewriting their buckets."""
+    folder = work_dir(m.spark, "buckets")
+    table = m.table("customer").select("c_custkey", "c_name", "c_acctbal")
+    parts.write_buckets(table.filter("c_custkey % 40 <> 7"), folder, ["c_custkey"], 64)
+    new = table.filter("c_custkey % 40 = 7").unionByName(
+        table.filter("c_custkey % 40 = 8").withColumn("c_name", F.lit("renamed")))
+    parts.change_buckets(m.spark, folder, ["c_custkey"], ["c_name"], new,
+                         table.filter("c_custkey % 40 = 9"), 64)
+    parts.remove_rows(m.spark, folder, F.col("c_acctbal") < -900)
+    return parts.read_parts(m.spark, folder).drop("bucket")
+
+
 @query
 def daily_extract(m: Mart) -> DataFrame:
     return views.daily_extract(m.orders, m.payments)

@@ -61,14 +61,17 @@ def recent_order_fact(orders, customers, payments, reviews, asof: date,
     return fact.orderBy(F.desc("purchase_ts"), "order_id")
 
 
-def daily_summary(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Daily totals; averages and rates weigh payment rows, an unpaid order weighing one."""
+def daily_summary(orders: DataFrame, payments: DataFrame, part: bool = False) -> DataFrame:
+    """Daily totals; averages and rates weigh payment rows, an unpaid order weighing one.
+
+    ``part`` says that ``orders`` is a part of the table, to which payments are then limited.
+    """
     weight = fan_out("n_payments").cast("decimal(18,0)")
     delivered, bought = F.col("delivered_ts"), F.col("purchase_ts")
     micros = elapsed_micros(delivered, bought).cast("decimal(20,0)")
     per_order = (
         orders.filter(bought.isNotNull())
-        .join(payment_totals(payments), "order_id", "left")
+        .join(payment_totals(payments, orders if part else None), "order_id", "left")
         .groupBy(F.to_date("purchase_ts").alias("report_date"), "order_id")
         .agg(F.max(F.when(F.col("order_status") == "delivered", 1).otherwise(0))
              .alias("delivered"),
