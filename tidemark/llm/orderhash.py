@@ -1,10 +1,15 @@
 """Order MinHash fingerprints, sensitive to edit distance, as column expressions only.
 
 The k-mers of a text are runs of ``k`` words; a k-mer that occurs again gets the number of its
-occurrence, so that all are distinct. Every entry has its own seeded hash of k-mer and number: the
-``keep`` smallest of all k-mers are selected, put back into text order, and their k-mers are
-hashed as a tuple. Equal texts have equal
-fingerprints, and the share of equal entries falls with edits and with moved passages alike.
+occurrence, so that all are distinct. Each is hashed once. An entry orders them by the exclusive or
+of their hash with its own seed, a bijection, so every k-mer is equally likely to come first: the
+``keep`` smallest of all are selected, put back into text order, and their k-mers are hashed as a
+tuple. Equal texts have equal fingerprints, and the share of equal entries falls with edits and
+with moved passages alike.
+
+The hashes that are smallest after the exclusive or share the most leading bits with the seed, so in
+sorted order they lie next to each other around the seed: an entry looks at a few neighbours, and at
+all hashes with the same leading bits where these reach beyond them.
 """
 
 from __future__ import annotations
@@ -15,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, KEEP, ENTRIES = 2, 2, 32
-#: Low bits of a packed value that hold the position of a k-mer.
-_POSITION = 26
+#: Low bits of a packed value that hold the position of a k-mer: a string of 2 GiB has no more
+#: words. The bits above hold its hash, and the sign is clear.
+_POSITION = 30
 _MASK = (1 << _POSITION) - 1
-#: How many k-mers are expected below the limit that spares sorting all of them for each entry.
-_NEAR = 16
+_HASH = 63 - _POSITION
+#: Neighbours of a seed that are looked at first, on either side.
+_NEAR = 6
 #: Most ranges of ids; beyond it they grow, and a task's window spills.
 MOST_RANGES = 16_383
 
@@ -30,17 +37,28 @@ def _let(value: Column, use) -> Column:
 
 
 def seeds_of(entries: int) -> list[int]:
-    """Fixed seeds of the entries' hashes."""
+    """Fixed seeds with different leading bits, spread over all hashes."""
     rng = random.Random(8)
-    return [rng.getrandbits(62) for _ in range(entries)]
+    step = (1 << _HASH) // entries
+    return [e * step + rng.randrange(step) for e in range(entries)]
+
+
+def _packed(high: Column, low: Column) -> Column:
+    """A hash's leading bits above a position."""
+    return F.shiftrightunsigned(high, 1).bitwiseAND(~_MASK).bitwiseOR(low.cast("bigint"))
+
+
+def _hash(packed: Column) -> Column:
+    return F.shiftright(packed, _POSITION)
 
 
 def signature(text: Column, k: int = K, keep: int = KEEP, entries: int = ENTRIES) -> Column:
-    """Array of ``entries`` hashes of a text, each from its own seeded hash of all k-mers.
+    """Array of ``entries`` hashes of a text, each from its own order of all k-mers.
 
     A text of fewer than ``k`` words has its whole sequence as its only k-mer.
     """
     seeds = F.array(*(F.lit(s) for s in seeds_of(entries)))
+    halves = F.array(*(F.lit(1 << b) for b in range(_POSITION - 1, -1, -1)))
 
     def of_words(words):
         count = F.greatest(F.size(words) - (k - 1), F.lit(1))
@@ -49,48 +67,60 @@ def signature(text: Column, k: int = K, keep: int = KEEP, entries: int = ENTRIES
             return F.xxhash64(*(F.get(words, i + j) for j in range(k)))
 
         packed = F.sort_array(F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: gram(i).bitwiseAND(~_MASK).bitwiseOR(i.cast("bigint"))))
+            F.sequence(F.lit(0), count - 1), lambda i: _packed(gram(i), i)))
 
         def numbered(grams):
             def same(i, back):
-                return F.shiftrightunsigned(F.get(grams, i - back), _POSITION) == \
-                    F.shiftrightunsigned(F.get(grams, i), _POSITION)
+                return _hash(F.get(grams, i - back)) == _hash(F.get(grams, i))
 
             def occurrence(i):
                 # Equal k-mers are neighbours, so the run's start is found by halving steps.
-                steps = F.array(*(F.lit(1 << b) for b in range(_POSITION - 1, -1, -1)))
                 return F.when((i > 0) & same(i, 1), F.aggregate(
-                    steps, F.lit(0), lambda done, step: F.when(
+                    halves, F.lit(0), lambda done, step: F.when(
                         (i - done - step >= 0) & same(i, done + step), done + step)
                     .otherwise(done))).otherwise(0)
 
-            return F.transform(grams, lambda g, i: F.xxhash64(
-                F.shiftrightunsigned(g, _POSITION), occurrence(i)).bitwiseAND(~_MASK)
-                .bitwiseOR(g.bitwiseAND(_MASK)))
+            return F.sort_array(F.transform(grams, lambda g, i: _packed(
+                F.xxhash64(_hash(g), occurrence(i)), g.bitwiseAND(_MASK))))
 
-        # About _NEAR of the hashes lie at or below this limit.
-        limit = F.when(count <= 2 * _NEAR, F.lit((1 << 63) - 1)).otherwise(
-            (F.lit(_NEAR * 2.0 ** 64) / count - F.lit(2.0 ** 63)).cast("bigint"))
+        def tuples(hashed):
+            def nearest(some, seed):
+                """Distances to the seed above positions, the ``keep`` smallest."""
+                return F.slice(F.sort_array(F.transform(some, lambda x: F.shiftleft(
+                    _hash(x).bitwiseXOR(seed), _POSITION).bitwiseOR(x.bitwiseAND(_MASK)))), 1, keep)
 
-        def tuples(hashed, most):
-            def seeded(x, seed):
-                return F.xxhash64(F.shiftrightunsigned(x, _POSITION).bitwiseXOR(seed))
+            def around(seed):
+                # How many hashes are below the seed, by halving steps.
+                below = F.aggregate(halves, F.lit(0), lambda done, step: F.when(
+                    F.get(hashed, done + step - 1) < F.shiftleft(seed, _POSITION), done + step)
+                    .otherwise(done))
+                return F.greatest(below - _NEAR, F.lit(0))
 
             def entry(seed):
-                # The smallest are among those below the limit, unless too few lie there.
-                near = F.filter(hashed, lambda x: seeded(x, seed) <= most)
-                enough = _let(near, lambda c: F.when(
-                    F.size(c) >= F.least(F.lit(keep), count), c).otherwise(hashed))
-                least = F.slice(F.array_sort(F.transform(enough, lambda x: F.struct(
-                    seeded(x, seed), x.bitwiseAND(_MASK).cast("int").alias("at")))), 1, keep)
-                return F.aggregate(F.array_sort(F.transform(least, lambda c: c["at"])),
-                                   F.lit(0).cast("bigint"), lambda s, i: F.xxhash64(s, gram(i)))
+                return _let(around(seed), lambda at: _let(
+                    F.slice(hashed, at + 1, 2 * _NEAR), lambda some: _let(
+                        nearest(some, seed), lambda best: chosen(seed, at, some, best))))
+
+            def chosen(seed, at, some, best):
+                # All hashes as near as the last one found share its leading bits with the seed.
+                span = _let(_hash(F.element_at(best, -1)), lambda d: F.when(d == 0, F.lit(0))
+                            .otherwise(F.pow(F.lit(2.0), F.floor(F.log2(d)) + 1) - 1)
+                            .cast("bigint"))
+                return _let(span, lambda rest: _let(F.when(
+                    ((at == 0) | (_hash(F.get(some, 0)) < seed.bitwiseAND(F.bitwise_not(rest))))
+                    & ((at + 2 * _NEAR >= count)
+                       | (_hash(F.element_at(some, -1)) > seed.bitwiseOR(rest))), best).otherwise(
+                    nearest(F.filter(hashed, lambda x: _hash(x).bitwiseOR(rest)
+                                     == seed.bitwiseOR(rest)), seed)), in_order))
+
+            def in_order(best):
+                return F.aggregate(
+                    F.sort_array(F.transform(best, lambda x: x.bitwiseAND(_MASK).cast("int"))),
+                    F.lit(0).cast("bigint"), lambda s, i: F.xxhash64(s, gram(i)))
 
             return F.transform(seeds, entry)
 
-        return _let(limit, lambda most: _let(packed, lambda g: _let(
-            numbered(g), lambda h: tuples(h, most))))
+        return _let(packed, lambda g: _let(numbered(g), tuples))
 
     return _let(F.split(F.coalesce(text, F.lit("")), r"\s+"), of_words)
 
