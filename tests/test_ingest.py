@@ -207,3 +207,45 @@ def test_command_line(spark, tmp_path, capsys):
     config.write_text('{"kpis": [{"name": "n", "sql_query": "SELECT x FROM absent"}]}')
     assert main(["run", tables, "--config", str(config)]) == 1
     assert "daily_revenue" in capsys.readouterr().out
+
+
+def quoted_file(path, n, long_every=0, newline="\n"):
+    import random
+
+    rng = random.Random(n)
+    pieces = ["plain", 'say ""hi""', "a, b", "line\nbreak", "two\n\nbreaks", '""', "", "\n", "é ü"]
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.write("id,title,message" + newline)
+        for i in range(n):
+            text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+            if long_every and i % long_every == 0:
+                text += "long\n" * 2000
+            out.write(f'{i},"t""{i}\n{i % 3}","{text}"'.replace("\n", newline) + newline)
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_line_breaks_read_by_many_tasks(spark, tmp_path, newline):
+    """Blocks end anywhere: inside quotes, in records longer than several blocks, at line ends."""
+    from tidemark.sources.quotedcsv import read_quoted
+
+    folder = tmp_path / "r.csv"
+    folder.mkdir()
+    quoted_file(folder / "a.csv", 400, 90, newline)
+    quoted_file(folder / "b.csv", 30, 0, newline)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "title", "message")])
+    want = spark.read.schema(schema).option("header", True).option("escape", '"').option(
+        "multiLine", True).csv(str(folder))
+    want = sorted(map(str, want.select(*schema.names).collect()))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        for size in ("3000", "777", old):
+            spark.conf.set(key, size)
+            got = read_quoted(spark, str(folder), schema)
+            blocks = spark.read.text(str(folder)).rdd.getNumPartitions()
+            assert size == old or blocks > 8
+            assert sorted(map(str, got.select(*schema.names).collect())) == want
+            order = got.filter("_file LIKE '%a.csv'").orderBy("_block", "_row").select("id")
+            assert [r.id for r in order.collect()] == [str(i) for i in range(400)]
+    finally:
+        spark.conf.set(key, old)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.tablechange import latest_per_key
 from tidemark.schemas import KEYS, TABLES
+from tidemark.sources.quotedcsv import read_quoted
 
 log = logging.getLogger(__name__)
 
@@ -37,22 +38,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              with_position: bool = False, multi_line: bool = False) -> DataFrame:
     """A headered CSV in its declared types; Spark splits the file, no chunk size needed.
 
-    ``multi_line`` keeps line breaks inside quotes; such a file is read whole by one task, so a
-    large table should come as several files.
+    ``multi_line`` keeps line breaks inside quotes; such a file is split like any other.
 
     Values are read as text, cleaned, then cast, so a padded number still parses and an
     unparsable one is NULL. ``with_position`` adds the columns ``POSITION``, which order the
     rows as they stand in the files.
     """
     text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("escape", '"') \
-        .option("multiLine", multi_line).csv(path)
-    position = []
-    if with_position:
+    position = POSITION if with_position else []
+    if multi_line:
+        raw = read_quoted(spark, path, text)
+    else:
+        raw = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
         raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
                          F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias("_row"))
-        position = POSITION
+                         F.monotonically_increasing_id().alias("_row")) if position else raw
+    raw = raw.select(*text.names, *position)
     clean = clean_strings(raw)
     return clean.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *position)
