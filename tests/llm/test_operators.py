@@ -80,6 +80,79 @@ def test_markov_finds_random_tokens_only(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+#: Ordinary tokens that no training sample holds.
+ORDINARY = """
+    2023/11/14/some-long-article 2024-01-02T03-04-05 HTTP/1/200/OK/2019-12
+    org/apache/spark/sql/catalyst /usr/local/lib/python3/site-packages INTERNAL_SERVER_ERROR_500
+    ENABLE_EXPERIMENTAL_FEATURES getHTTPResponseCode2 product-12345678-90-xl
+    AbstractSingletonProxyFactoryBean application/vnd/openxmlformats
+    wp-content/uploads/2021/03/header-image node_modules/react-dom/server
+    DEFAULT_CONNECTION_TIMEOUT_MS isUserAuthenticatedAndActive Mozilla/5/Windows-NT-10
+    build-2024-02-11-nightly release/v2/stable/notes images/gallery/photo_0012
+    chapter-03-section-02 KafkaConsumerGroupCoordinator com/google/common/collect/ImmutableList
+    test_should_return_empty_list SELECT_FOR_UPDATE_NOWAIT en-US/docs/Web/JavaScript
+    blog/archive/2019/07/page/2 https-www-example-com spring-boot-starter-web
+    JavaScriptObjectNotation order_items_2023_q4_final IMG_20230514_142530
+    screenshot-2022-08-19-at-10 /var/log/nginx/access_log TransactionRollbackException
+    kubernetes/cluster/addons rsa-sha2-512-signature unsigned_long_long_int
+    MAX_RETRY_ATTEMPTS_EXCEEDED users/profile/settings/edit 2019-ncov-report-update
+    background-attachment-fixed XMLHttpRequestUpload setDefaultCloseOperation ISO-8859-1-characters
+    0800-555-0199-ext-12 page/about-us/our-history windows-server-2019-datacenter
+    covid-19-vaccination-rates api/v1/customers/1024/orders JSONWebTokenAuthentication
+    invoice_number_000123456 Content-Transfer-Encoding multipart/form-data/boundary
+    assertRaisesRegexMatch docker-compose-override requirements/base/dev/test
+    2020/12/31/year-in-review python-3-11-slim-bookworm MIT-License-Copyright-2015
+    ThreadPoolExecutorService src/main/java/com/example CREATE_TABLE_IF_NOT_EXISTS
+    max_allowed_packet_size category/sports/football UTF-16-little-endian InnoDB_buffer_pool_size
+    state-of-the-art-results pre-trained-language-models 1234-5678-9012-3456 192-168-100-254-local
+    article-id-100045678 Q3-2022-earnings-call getElementsByClassName readme-for-contributors
+    vacation-photos-2018/day-04 x-forwarded-for-header libstdc++/include/c++/11
+    CamelCaseToSnakeCaseConverter world-wide-web-consortium error_code_404_not_found
+    tests/unit/test_parser STATUS_ACCESS_VIOLATION datetime/timezone/utc-offset
+    GeneralDataProtectionRegulation intermediate_representation ubuntu-22-04-lts-amd64
+    macos-monterey-12-6 first_name_last_name_email NullPointerExceptionHandler
+    2024-Q1-roadmap-draft-v2 TCP/IP/UDP/ICMP/ARP news/world/europe/67012345 thread-safe-queue-impl
+    LIST_OF_SUPPORTED_LANGUAGES ftp/pub/linux/kernel/v5 part-00000-of-00128 VERY_IMPORTANT_NOTICE
+    model-checkpoint-epoch-10 google-analytics-tracking lorem-ipsum-dolor-sit-amet
+""".split()
+
+
+def test_a_hundred_ordinary_and_a_hundred_random_tokens():
+    import base64
+
+    made = []
+    for i in range(25):
+        raw = hashlib.sha384(f"unseen {i}".encode()).digest()
+        packed = base64.b64encode(raw).decode()
+        made += [raw.hex()[:32], packed[:40], re.sub("[+/=]", "", packed)[:24],
+                 re.sub("[+/=]", "", packed)[10:42].upper()]
+    words = [w for i in range(60) for w in prose(600 + i, 50).split()]
+    training = [(w, 0) for w in words] + [
+        (kind, 1) for i in range(600) for h in [hashlib.sha512(str(i).encode()).digest()]
+        for kind in (h.hex()[:40], base64.b64encode(h).decode()[:40],
+                     re.sub("[+/=]", "", base64.b64encode(h).decode())[20:50].upper())]
+    model, least = secrets.fit(training)
+    assert len(ORDINARY) == len(made) == 100
+    alarms = [t for t in ORDINARY if secrets.markov_spans(t, model, [], least)]
+    missed = [t for t in made if not secrets.markov_spans(t, model, [], least)]
+    assert len(alarms) <= 1 and len(missed) <= 5, (alarms, missed, least)
+
+
+def test_markov_spans_equal_sums_over_pairs():
+    """The score recomputed pair by pair from the ratio table."""
+    model, least = secrets.fit([("abcdefgh", 0), ("9f8Xq2Z7", 1), ("some_words", 0)], built=200)
+    alphabet = secrets._ALPHABET
+    for text in ["see 9f8Xq2Z79f8Xq2Z7 and org/some/ordinary/path", "x" * 20 + "7", ORDINARY[0]]:
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            total = model.ratio[len(alphabet), alphabet.index(m[0][0])] + sum(
+                model.ratio[alphabet.index(a), alphabet.index(b)] for a, b in zip(m[0], m[0][1:]))
+            plain = m[0].isalpha() and (m[0].islower() or m[0].istitle())
+            if total / len(m[0]) >= least and not plain and re.search("[A-Za-z]", m[0]):
+                want.append((m.start(), m.end(), "markov"))
+        assert secrets.markov_spans(text, model, [], least) == want
+
+
 def test_ordinary_words_of_distinct_documents_and_whole_texts(spark):
     """A frequent id counts as one document, and late words are drawn as well as early ones."""
     late = "early " * 2000 + "later " * 2000

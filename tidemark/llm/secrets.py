@@ -1,13 +1,21 @@
 """Secret scans: fixed patterns plus two character Markov models compared by likelihood ratio.
 
 Long unbroken tokens are scored under a first-order model of random strings and one of ordinary
-identifiers; where the logarithm of the ratio is high enough the token is a span of kind
-``markov``. Spans of the fixed patterns always stay, and a model's span never overlaps them.
+identifiers; where the logarithm of the ratio, per character, is high enough the token is a span of
+kind ``markov``. The ordinary model learns words of the corpus and identifiers that are built from
+words, dates and numbers as paths, slugs, versions, constants and camel case; the threshold is
+fitted on samples held out from both models. Spans of the fixed patterns always stay, and a model's
+span never overlaps them.
+
+The models judge runs of at least 16 of ``A-Za-z0-9+/_=-`` that have a letter and are not a single
+word of lower-case or capitalised letters; shorter runs, digits alone and plain words are never
+``markov`` spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -73,8 +81,9 @@ class MarkovRatio:
         return _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
 
     def score(self, token: str) -> float:
+        """Mean over the characters, so that long ordinary tokens don't add up to a secret."""
         codes = self._codes(token)
-        return float(self.ratio[np.r_[len(_ALPHABET), codes[:-1]], codes].sum())
+        return float(self.ratio[np.r_[len(_ALPHABET), codes[:-1]], codes].mean())
 
 
 #: Ordinary identifiers, labelled 0 beside the words of the corpus.
@@ -88,6 +97,46 @@ IDENTIFIERS = (
 )
 
 
+#: Words that identifiers are built from, beside those of the corpus.
+WORDS = """
+    able access account action admin alert android api archive area array article auth average
+    backup base black block board boot branch browser buffer build cache call card category
+    change channel check city client clock cloud code column command comment common config connect
+    console content count create current custom date day debug default desktop detail digital directory
+    domain download draft driver element email empty engine event example export factory field file
+    filter final flag float folder font format frame full function general global graph group
+    handle header health history host hour html http image import index info install interface
+    invalid invoice job join json key language large layout length library light limit line
+    list load local lock login machine main manager market match media memory message method
+    mobile mode module month mouse music network next node note number office online open
+    order origin output owner page panel park path photo plan player point pool port
+    post price process profile program proxy query queue random record release remote report request
+    result review road root sample scale school score script search server service share short
+    single size south sport stack start stock store
+""".split()
+
+
+def identifiers(words: list[str], n: int, seed: int) -> list[str]:
+    """``n`` ordinary identifiers of many shapes, built from words, dates and numbers."""
+    rng, made = random.Random(seed), []
+    for i in range(n if words else 0):
+        a, b, c, d = (rng.choice(words) for _ in range(4))
+        year, month, day = rng.randrange(1990, 2036), rng.randrange(1, 13), rng.randrange(1, 29)
+        number, few = rng.randrange(10 ** rng.randrange(1, 9)), rng.randrange(100)
+        made.append((
+            f"{a}/{b}/{c}/{d}", f"/{a}/{b}{few}/{c}-{d}", f"{a}_{b}_{c}".upper(),
+            f"{a}_{b}_{c}_{few}".upper(), a.capitalize() + b.capitalize() + c.capitalize(),
+            a + b.capitalize() + c.upper() + d.capitalize() + str(few % 10),
+            f"{year}/{month:02d}/{day:02d}/{a}-{b}-{c}",
+            f"{year}-{month:02d}-{day:02d}T{few % 24:02d}-{few % 60:02d}-{day:02d}",
+            f"{a}-{year}-{month:02d}-{day:02d}-{b}", f"{a}-{number}-{few}-{b}",
+            f"{a.upper()}/{few}/{number}/{b.upper()}/{year}", f"{a}-v{month}_{day}_{few}-{b}",
+            f"{a}_{b}_{c}_{d}", f"{a}-{b}-{c}-{d}", f"{a}-{b}-{number}", f"{a}={b}={number}",
+            f"{a}++/{b}+{c}/{few}", f"{a[:3]}/{b[:3]}/{c[:3]}/{d[:2]}".upper(),
+        )[i % 18])
+    return made
+
+
 def random_samples(spark: SparkSession, n: int = 600) -> DataFrame:
     """Labelled random strings (text, 1): digests of a counter as hexadecimal, base 64 and others."""
     seed = spark.range(n).select(F.sha2(F.col("id").cast("string"), 512).alias("h"))
@@ -126,11 +175,33 @@ def ordinary_samples(docs: DataFrame, n_docs: int = 300, n_words: int = 60_000)
     return texts.select(F.explode(_let(words, chosen)).alias("text"), F.lit(0).alias("label"))
 
 
-def train(samples: DataFrame) -> MarkovRatio:
-    """Fit both models on a small labelled table (text, label 1 for random)."""
-    rows_ = samples.filter("text RLIKE '^[A-Za-z0-9+/_=-]+$'").select("text", "label").collect()
-    return MarkovRatio([(r["text"], int(r["label"])) for r in rows_] + [
-        (x.replace(".", "_"), 0) for x in IDENTIFIERS])
+def _ascii(token: str) -> str:
+    return re.sub(r"[^A-Za-z0-9+/_=-]", "_", token)
+
+
+def fit(samples: list[tuple[str, int]], built: int = 9000) -> tuple[MarkovRatio, float]:
+    """Both models from labelled tokens (1: random) and the threshold per character.
+
+    ``built`` identifiers are made from the words given here and half as many from those with label
+    0. Every fifth token is held out; the threshold stands in the middle between what one in a
+    thousand held-out ordinary tokens and ninety-nine in a hundred random ones reach, and never
+    below the former.
+    """
+    words = sorted({t for t, label in samples if not label and t.isalpha()})
+    rows_ = sorted(samples) + [(_ascii(x), 0) for x in (
+        *IDENTIFIERS, *identifiers(WORDS, built, 5), *identifiers(words, built // 2, 6))]
+    model = MarkovRatio([r for i, r in enumerate(rows_) if i % 5])
+    held = [(t, label) for i, (t, label) in enumerate(rows_) if not i % 5 and len(t) >= 16]
+    ordinary, secret = ([model.score(t) for t, x in held if x == label] for label in (0, 1))
+    low = float(np.quantile(ordinary, 0.999)) if ordinary else 0.0
+    high = float(np.quantile(secret, 0.01)) if secret else low
+    return model, max(low, (low + high) / 2)
+
+
+def train(samples: DataFrame) -> tuple[MarkovRatio, float]:
+    """``fit`` on a small labelled table (text, label 1 for random)."""
+    return fit([(r["text"], int(r["label"])) for r in samples.filter(
+        "text RLIKE '^[A-Za-z0-9+/_=-]+$'").select("text", "label").collect()])
 
 
 def markov_spans(text: str, model: MarkovRatio, taken: list, threshold: float) -> list:
@@ -154,14 +225,14 @@ _SCAN = pa.schema([
 _SCAN_DDL = "doc_id bigint, text string, spans array<struct<kind:string,first:bigint,last:bigint>>"
 
 
-def _scan(model, threshold, redact):
+def _scan(model, redact):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
+        fitted, least = model.value
         for ids, texts in rows(batches):
             out: list[list] = [[], [], []]
             for i, text in zip(ids, texts):
                 spans = base_spans(text or "")
-                spans = sorted(spans + markov_spans(text or "", fitted, spans, threshold))
+                spans = sorted(spans + markov_spans(text or "", fitted, spans, least))
                 for c, v in zip(out, (i, _blank(text, spans) if redact else None, [
                         {"kind": kind, "first": s, "last": e} for s, e, kind in sorted(
                             spans, key=lambda x: (x[0], (*KINDS, "markov").index(x[2])))])):
@@ -183,22 +254,28 @@ def _blank(text, spans, mark="[SECRET]"):
     return "".join([*parts, text[at:]])
 
 
-def find_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 12.0,
-                 redact: bool = False) -> DataFrame:
+def _sent(spark: SparkSession, samples: DataFrame, threshold: float | None):
+    """The model (67 x 66 numbers) and the threshold, for every task."""
+    model, fitted = train(samples)
+    return spark.sparkContext.broadcast((model, fitted if threshold is None else threshold))
+
+
+def find_secrets(docs: DataFrame, samples: DataFrame | None = None,
+                 threshold: float | None = None, redact: bool = False) -> DataFrame:
     """Secret spans of every whole text: doc_id, text (with ``redact``, else null), spans.
 
     Spans hold kind, first and last (code points, end exclusive), by start and then kind. One row
     per input row, repeated rows included; a null or empty text has no spans, null ids are kept.
-    ``threshold`` is the least log-likelihood ratio in nats. ``samples`` (text, label) defaults to
-    generated random strings against words of at most 300 documents.
+    ``threshold`` is the least log-likelihood ratio in nats a character, by default the fitted one.
+    ``samples`` (text, label) defaults to generated random strings against words of at most 300
+    documents.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     if samples is None:
         samples = random_samples(spark).unionByName(ordinary_samples(docs))
-    model = spark.sparkContext.broadcast(train(samples))  # two tables of 67 x 66 numbers
-    return docs.mapInArrow(_scan(model, threshold, redact), _SCAN_DDL)
+    return docs.mapInArrow(_scan(_sent(spark, samples, threshold), redact), _SCAN_DDL)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -229,7 +306,7 @@ def brute_force(text: str | None) -> tuple:
 
 
 def redact(docs: DataFrame, samples: DataFrame | None = None,
-           threshold: float = 12.0) -> DataFrame:
+           threshold: float | None = None) -> DataFrame:
     """``docs`` with its columns in their order, secrets in ``text`` replaced by a mark.
 
     Where there is an ``n_chars`` column it follows the new text. The other columns ride along,
@@ -239,18 +316,18 @@ def redact(docs: DataFrame, samples: DataFrame | None = None,
     if samples is None:
         samples = random_samples(spark).unionByName(ordinary_samples(docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
-    model = spark.sparkContext.broadcast(train(samples))
+    model = _sent(spark, samples, threshold)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
+        fitted, least = model.value
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 texts = []
                 for text in part.column(at).to_pylist():
                     spans = base_spans(text or "")
-                    spans += markov_spans(text or "", fitted, spans, threshold)
+                    spans += markov_spans(text or "", fitted, spans, least)
                     texts.append(_blank(text, spans))
                 yield part.set_column(at, part.schema.field(at),
                                       pa.array(texts, part.schema.field(at).type))
