@@ -48,3 +48,14 @@ def test_stages_on_odd_rows(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, SF).cache()
     assert out.count() == 0
+
+
+def test_language_stage_rejects_what_fits_no_language(spark):
+    """Scripts that no training text has go; the texts of the table and short ones stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10**6, "\u16a0\u16a2\u16a6\u16a8 " * 40), (10**6 + 1, "\u4dc0\U00010400\U00010401 " * 30),
+           (10**6 + 2, "the"), (10**6 + 3, "12 34"), (10**6 + 4, None)]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in odd], docs.schema)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language ID"](
+        spark, docs.unionByName(more), SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {10**6 + 2}

@@ -255,8 +255,49 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             .mapInArrow(run, "doc_id bigint, lang_pred string, score double"))
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; nothing is joined or shuffled."""
+def fits(texts: list[str | None], model: Model) -> np.ndarray:
+    """Log-probability a character of each text under its best language; -inf without letters."""
+    out = np.full(len(texts), -np.inf)
+    if model.languages:
+        best = model.text_scores(texts).max(axis=1)
+        for i, text in enumerate(texts):
+            if text and any(map(str.isalpha, text)):
+                out[i] = best[i] / sum(len(w) + 1 for w in text.split())
+    return out
+
+
+def floor(labelled: DataFrame, model: Model, sample: int = 200, margin: float = 4.0) -> float:
+    """The least fit of a text in a known language, from about ``sample`` texts with a language.
+
+    They are drawn by another hash of doc_id than the training sample. The floor lies as far below
+    the worst of them as that lies below their median, ``margin`` at least. Without such texts
+    nothing is below it.
+    """
+    usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    n = usable.count()
+    if not n or not model.languages:
+        return -np.inf
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    draw = F.pmod(F.xxhash64(F.lit("floor"), "doc_id"), F.lit(1 << 30))
+    texts = (usable.filter(draw < int(min(1.0, sample / n) * (1 << 30)))
+             .groupBy("doc_id").agg(F.min("text").alias("text")).select("text"))
+
+    def run(batches):
+        for (part,) in rows(batches, 400):
+            yield pa.RecordBatch.from_arrays([pa.array(fits(part, shared.value))], names=["fit"])
+
+    low, middle = (texts.mapInArrow(run, "fit double").filter("fit > double('-infinity')")
+                   .agg(F.min("fit"), F.percentile_approx("fit", 0.5)).first())
+    return -np.inf if low is None else low - max(middle - low, margin)
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = -np.inf) -> DataFrame:
+    """``docs`` without the rows that have no letter or fit no language of the model.
+
+    A text stays whose log-probability a character, under the best language, is ``least`` or more
+    (see ``floor``). A model without languages judges nothing and rejects every row. Repeated rows
+    and null ids are judged each by itself; nothing is joined or shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -264,7 +305,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 400):
                 part = batch.slice(first, 400)
-                preds, _ = predictions(part.column(at).to_pylist(), shared.value)
-                yield part.filter(pa.array([p != "und" for p in preds], pa.bool_()))
+                fit = fits(part.column(at).to_pylist(), shared.value)
+                yield part.filter(pa.array(np.isfinite(fit) & (fit >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -54,9 +54,13 @@ def op8_order_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def language_labels(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang").filter(
+        F.coalesce(_remainder(4) != 2, F.lit(False)))
+
+
 def language_model(docs: DataFrame) -> language.Model:
-    return language.train(docs.select("doc_id", "text", "lang").filter(
-        F.coalesce(_remainder(4) != 2, F.lit(False))), public_tokenizers.path(LANGUAGE_VOCABULARY))
+    return language.train(language_labels(docs), public_tokenizers.path(LANGUAGE_VOCABULARY))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
