@@ -249,3 +249,31 @@ def test_quoted_line_breaks_read_by_many_tasks(spark, tmp_path, newline):
             assert [r.id for r in order.collect()] == [str(i) for i in range(400)]
     finally:
         spark.conf.set(key, old)
+
+
+def test_one_pass_over_a_feed_equals_its_tables(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = [row(i, rng.choice([None, "a", "b", "c"]), rng.choice(["Shipped", "Pending", None]),
+                city=rng.choice(["x", "y", None])) for i in range(60)]
+    frame = feed_frame(spark, rows).withColumn("quantity", (F.col("seq") % 5 - 1).cast("string")) \
+        .withColumn("customer_id", F.when(F.col("seq") % 7 > 0, F.concat(F.lit("c"), F.col("seq") % 4)))
+    path = str(tmp_path / "flat.parquet")
+    frame.write.parquet(path)
+    source = spark.read.parquet(path)
+    want = feed.normalise(source, ASOF, ["seq"])
+    plan = feed.deciding_rows(source, ASOF, ["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    feed.store(source, ASOF, ["seq"], str(tmp_path / "kept"))
+    tables = feed.stored_tables(spark, str(tmp_path / "kept"))
+    assert set(tables) == set(TABLES)
+    star = StarSchema(tables, ASOF)
+    for name, got in (("customers", tables["customers"]), ("sellers", tables["sellers"]),
+                      ("orders", star.orders), ("payments", star.payments), ("items", star.items)):
+        columns = want[name].columns
+        assert sorted(map(str, got.select(columns).collect())) == sorted(
+            map(str, want[name].collect())), name
+    assert sorted(map(str, tables["products"].select(want["products"].columns).collect())) == sorted(
+        map(str, want["products"].collect()))
+    assert tables["order_reviews"].count() == 0

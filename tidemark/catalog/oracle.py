@@ -165,6 +165,15 @@ add("feed_payments", _feed_pick(
 add("feed_sellers", """
 SELECT DISTINCT 'seller_default_2025' AS seller_id, '00000' AS seller_zip_code_prefix,
   'New York' AS seller_city, 'NY' AS seller_state FROM feed""", _FEED)
+add("feed_regional_summary", f"""
+SELECT 'XX' AS customer_state, city AS customer_city, count(*) AS total_orders,
+  CAST(sum(money) AS DOUBLE) AS state_revenue, {cents('money')} AS state_aov,
+  CAST(NULL AS DOUBLE) AS avg_csat, CAST(sum(items) AS BIGINT) AS items
+FROM fo JOIN fc USING (customer_id) LEFT JOIN fi USING (order_id) GROUP BY city
+HAVING count(*) >= 3""", _FEED,
+    "fo AS (" + _feed_pick("order_id, customer_id, money", "order_id", "DESC") + ")",
+    "fc AS (" + _feed_pick("customer_id, city", "customer_id", "ASC") + ")",
+    "fi AS (SELECT order_id, max(quantity) AS items FROM feed WHERE quantity >= 1 GROUP BY 1)")
 add("feed_items", """
 SELECT order_id, i AS order_item_id, product_id, 'seller_default_2025' AS seller_id,
   purchase_ts AS shipping_limit_date, CAST(money AS DOUBLE) AS price,
@@ -817,6 +826,22 @@ SELECT segment, metric, last_day + k AS day, k AS h,
   {rnd(f'greatest(0e0, {_F} + {_MARGIN})', 2)} AS upper_95,
   {rnd(f'greatest(0e0, {_F} - {_MARGIN})', 2)} AS lower_95
 FROM fits, (SELECT CAST(unnest(range(1, 15)) AS INTEGER) AS k) WHERE points >= 7""", *_fit(45))
+_ERR = "pts.y - (h.level + k * h.trend)"
+_Q = {n: f"quantile_cont(err, {p}e0)" for n, p in (
+    ("l95", 0.025), ("l80", 0.1), ("u80", 0.9), ("u95", 0.975))}
+add("forecast_intervals", f"""
+SELECT segment, metric, last_day + k AS day, k AS h, {rnd(f'greatest(0e0, {_F})', 2)} AS forecast,
+  {', '.join(f"CASE WHEN n > 0 THEN {rnd(f'greatest(0e0, {_F} + {c})', 2)} END AS {name}"
+             for c, name in (('l80', 'lower_80'), ('u80', 'upper_80'), ('l95', 'lower_95'),
+                             ('u95', 'upper_95')))},
+  coalesce(n, 0) AS origins
+FROM fits CROSS JOIN ks LEFT JOIN errs USING (segment, metric, k) WHERE points >= 7""", *_fit(45),
+    "ks AS (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k)",
+    f"""errs AS (SELECT segment, metric, k, count(*) AS n,
+  {', '.join(f'{q} AS {n}' for n, q in _Q.items())}
+  FROM (SELECT h.segment, h.metric, k, {_ERR} AS err FROM h, ks, pts
+        WHERE pts.segment = h.segment AND pts.metric = h.metric AND pts.i = h.i + k AND h.i >= 7)
+  GROUP BY 1, 2, 3)""")
 add("forecast_too_short", """
 SELECT segment, metric, points, 'Need at least 7 historical data points for projection'
   AS error FROM fits WHERE points < 7""", *_fit(10))

@@ -18,6 +18,7 @@ from tidemark.plans.registry import spec_frame
 from tidemark.schemas import SCENARIO
 from tidemark.sources import csvtables, databases, feed, parts, sinks
 from tidemark.sources.conformed import Mart
+from tidemark.sources.starschema import StarSchema
 from tidemark.streaming import metrics as sm, runtime as rt, state as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,19 @@ def feed_items(m: Mart) -> DataFrame:
     return _feed_tables(m)["items"]
 
 
+@query
+def feed_regional_summary(m: Mart) -> DataFrame:
+    """The regional summary over a star schema that one read of the feed gave."""
+    folder = work_dir(m.spark, "feed")
+    feed.store(flat_feed(m), m.asof, FEED_ORDER, folder)
+    star = StarSchema(feed.stored_tables(m.spark, folder), m.asof)
+    items = star.items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    sold = (star.orders.join(star.customers, "customer_id").join(items, "order_id")
+            .groupBy("customer_city").agg(F.sum("n").alias("items")))
+    return views.regional_summary(star.orders, star.customers, star.payments, star.reviews,
+                                  star.asof).join(sold, "customer_city", "left")
+
+
 def _sql_kpi_status(m: Mart) -> DataFrame:
     """A good metric, one that doesn't analyse and one that fails when it runs."""
     m.orders.createOrReplaceTempView("kpi_orders")
@@ -738,9 +752,12 @@ def geography_rollup(m: Mart) -> DataFrame:
 
 # --- forecast and scenarios -----------------------------------------------------------------
 
+def _forecast_series(m: Mart, lookback: int = 45) -> DataFrame:
+    return _series(m, lookback).filter("metric in ('revenue', 'volume')")
+
+
 def _fits(m: Mart, lookback: int = 45) -> DataFrame:
-    series = _series(m, lookback).filter("metric in ('revenue', 'volume')")
-    return forecast.fit(series)
+    return forecast.fit(_forecast_series(m, lookback))
 
 
 @query
@@ -755,6 +772,12 @@ def forecast_bands(m: Mart) -> DataFrame:
     return forecast.project(_fits(m), 14)
 
 
+@query
+def forecast_intervals(m: Mart) -> DataFrame:
+    """Bands from a rolling back-test of each state's revenue and volume."""
+    return forecast.intervals(_fits(m), forecast.backtest(_forecast_series(m), 10), 10)
+
+
 @query
 def forecast_too_short(m: Mart) -> DataFrame:
     return forecast.too_short(_fits(m, 10))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators.tablechange import first_per_key, latest_per_key
+from tidemark.schemas import TABLES
 
 # Feed status -> order status, fallbacks and the stand-in seller.
 STATUS = {"Delivered": "delivered", "Shipped": "shipped", "Processing": "processing",
@@ -41,14 +42,9 @@ def payment_method(method: Column) -> Column:
     return F.replace(F.lower(F.coalesce(method, F.lit("credit_card"))), F.lit(" "), F.lit("_"))
 
 
-def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, DataFrame]:
-    """Customers, products, sellers, orders, payments and items of a feed.
-
-    Customers and products keep their first row, orders and payments their last. Items are
-    numbered per quantity; a later feed row of the same order overwrites equal numbers. All items
-    belong to the one stand-in seller; a feed without rows has no seller.
-    """
-    rows = feed.select(
+def _read(feed: DataFrame, asof: date, sequence: list[str]) -> DataFrame:
+    """The feed's rows with their fields mapped, repaired and typed."""
+    return feed.select(
         *sequence,
         F.col("order_id").cast("string").alias("order_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
@@ -60,6 +56,16 @@ def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, Dat
         payment_method(F.col("payment_method")).alias("payment_type"),
         F.col("quantity").try_cast("int").alias("quantity"),
         F.col("price").try_cast("decimal(18,2)").alias("price"))
+
+
+def normalise(feed: DataFrame, asof: date, sequence: list[str]) -> dict[str, DataFrame]:
+    """Customers, products, sellers, orders, payments and items of a feed.
+
+    Customers and products keep their first row, orders and payments their last. Items are
+    numbered per quantity; a later feed row of the same order overwrites equal numbers. All items
+    belong to the one stand-in seller; a feed without rows has no seller.
+    """
+    rows = _read(feed, asof, sequence)
     status, bought = F.col("order_status"), F.col("purchase_ts")
     customers = first_per_key(rows.select(
         *sequence, "customer_id", F.col("customer_id").alias("customer_unique_id"),
@@ -101,6 +107,11 @@ def numbered_items(rows: DataFrame, sequence: list[str]) -> DataFrame:
             .groupBy("order_id", "quantity")
             .agg(F.max_by(F.struct(*cols), F.struct(*sequence)).alias("row"))
             .select("order_id", "quantity", "row.*"))
+    return _numbered(last, sequence)
+
+
+def _numbered(last: DataFrame, sequence: list[str]) -> DataFrame:
+    """Items of the last feed row of each order and quantity."""
     later = (Window.partitionBy("order_id").orderBy(*[F.desc(c) for c in sequence])
              .rowsBetween(Window.unboundedPreceding, -1))
     covered = F.coalesce(F.max("quantity").over(later), F.lit(0))
@@ -115,3 +126,94 @@ def numbered_items(rows: DataFrame, sequence: list[str]) -> DataFrame:
         "product_id", F.lit(SELLER).alias("seller_id"),
         F.col("purchase_ts").alias("shipping_limit_date"), "price",
         F.lit(0).cast("decimal(18,2)").alias("freight_value"))
+
+
+#: What each kind of stored row needs of a feed row, beside its keys.
+_NEEDS = {"customers": ["city"], "products": ["category"],
+          "orders": ["customer_id", "order_status", "purchase_ts", "order_value", "payment_type"],
+          "items": ["product_id", "purchase_ts", "price"]}
+
+
+def deciding_rows(feed: DataFrame, asof: date, sequence: list[str]) -> DataFrame:
+    """(table, key, number, place, row): what decides every table, from one read of a feed.
+
+    A feed row becomes one row each for its customer, product, order and item quantity, with only
+    the fields that this kind needs. Rows of one key combine before the exchange, and the first
+    (customers, products) or last one (orders, items) stays. Rows without a key stay all.
+    """
+    rows = _read(feed, asof, sequence).withColumn("quantity", F.coalesce("quantity", F.lit(1)))
+    fields = sorted({c for need in _NEEDS.values() for c in need})
+    types = {f.name: f.dataType for f in rows.schema.fields}
+
+    def tagged(table, key, number):
+        kept = [F.when(F.lit(c in _NEEDS[table]), F.col(c)).cast(types[c]).alias(c) for c in fields]
+        return F.struct(F.lit(table).alias("table"), F.col(key).alias("key"), number.alias("number"),
+                        F.struct(*kept).alias("row"))
+
+    none = F.lit(None).cast("int")
+    kinds = F.array(tagged("customers", "customer_id", none), tagged("products", "product_id", none),
+                    tagged("orders", "order_id", none), tagged("items", "order_id", F.col("quantity")))
+    place = F.struct(*sequence)
+    spread = rows.select(place.alias("place"), F.explode(kinds).alias("k")).select("place", "k.*")
+    spread = spread.filter((F.col("table") != "items") | (F.col("number") >= 1)).withColumn(
+        "own", F.when(F.col("key").isNull() & (F.col("table") != "items"),
+                      F.monotonically_increasing_id()))
+    whole = F.struct("place", "row")
+    chosen = spread.groupBy("table", "key", "number", "own").agg(
+        F.min_by(whole, "place").alias("first"), F.max_by(whole, "place").alias("last"))
+    out = chosen.withColumn("kept", F.when(F.col("table").isin("customers", "products"),
+                                           F.col("first")).otherwise(F.col("last")))
+    return out.select("table", "key", "number", "kept.place", "kept.row")
+
+
+def store(feed: DataFrame, asof: date, sequence: list[str], folder: str) -> None:
+    """Write the deciding rows of a feed, partitioned by table, in one job."""
+    (deciding_rows(feed, asof, sequence).write.mode("overwrite").partitionBy("table")
+     .parquet(folder))
+
+
+def stored_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The nine base tables, as ``StarSchema`` takes them, from what ``store`` wrote.
+
+    Tables that a feed doesn't have are empty, columns that it doesn't have are NULL.
+    """
+    kept = spark.read.parquet(folder)
+
+    def of(kind):
+        return kept.filter(F.col("table") == kind).select("key", "number", "place", "row.*")
+
+    orders = of("orders").withColumnRenamed("key", "order_id")
+    status, bought = F.col("order_status"), F.col("purchase_ts")
+    sequence = kept.schema["place"].dataType.names
+    items = _numbered(of("items").select(
+        F.col("key").alias("order_id"), F.col("number").alias("quantity"), "place.*",
+        "product_id", "purchase_ts", "price"), sequence)
+    made = {
+        "customers": of("customers").select(
+            F.col("key").alias("customer_id"), F.col("key").alias("customer_unique_id"),
+            F.lit(ZIP).alias("customer_zip_code_prefix"), F.col("city").alias("customer_city"),
+            F.lit(STATE).alias("customer_state")),
+        "products": of("products").select(F.col("key").alias("product_id"),
+                                          F.col("category").alias("product_category_name")),
+        # A feed with any row has an order row.
+        "sellers": orders.limit(1).select(
+            F.lit(SELLER).alias("seller_id"), F.lit(ZIP).alias("seller_zip_code_prefix"),
+            F.lit(SELLER_CITY).alias("seller_city"), F.lit(SELLER_STATE).alias("seller_state")),
+        "orders": orders.select(
+            "order_id", "customer_id", "order_status", bought.alias("order_purchase_timestamp"),
+            F.when(status != "canceled", bought).alias("order_approved_at"),
+            F.when(status.isin("shipped", "delivered"), bought)
+            .alias("order_delivered_carrier_date"),
+            F.when(status == "delivered", bought).alias("order_delivered_customer_date"),
+            bought.alias("order_estimated_delivery_date")),
+        "order_payments": orders.select(
+            "order_id", F.lit(1).alias("payment_sequential"), "payment_type",
+            F.lit(1).alias("payment_installments"), F.col("order_value").alias("payment_value")),
+        "order_items": items.drop(*sequence)}
+    tables = {}
+    for name, schema in TABLES.items():
+        df = made.get(name)
+        tables[name] = spark.createDataFrame([], schema) if df is None else df.select(*(
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields))
+    return tables
