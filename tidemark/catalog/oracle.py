@@ -530,7 +530,7 @@ SELECT segs.segment, 'revenue' AS metric, """ + ", ".join(
         "mean", "std", "median", "iqr", "upper_bound_2sigma", "lower_bound_2sigma",
         "iqr_upper_outlier", "iqr_lower_outlier")) + """,
   CASE WHEN mean IS NULL THEN
-  'Insufficient operational history for statistical analysis' END AS error
+  'No days to take statistics from' END AS error
 FROM segs LEFT JOIN stats ON stats.segment = segs.segment AND metric = 'revenue'""",
     _rollup(1), _SERIES, _STATS)
 _ANOMALIES = f"""
@@ -542,15 +542,15 @@ SELECT segment, CASE metric WHEN 'revenue' THEN 'Daily Revenue' WHEN 'volume' TH
   {rnd('z', 2)} AS z_score,
   CASE WHEN metric = 'revenue' AND z < -2.5 THEN 'CRITICAL'
     WHEN metric = 'revenue' AND z >= -2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
-  CASE WHEN metric = 'revenue' AND z < 0 THEN 'Sudden Revenue Collapse'
-    WHEN metric = 'revenue' THEN 'Revenue Spike Surge' WHEN metric = 'volume' THEN
-    'Order Flow Drop' ELSE 'Logistics Bottleneck / Carrier Delay' END AS type,
-  CASE metric WHEN 'revenue' THEN 'Daily revenue of $' || format('{{:,.2f}}', {rnd('cur', 2)})
-    || ' deviated by ' || printf('%+.1f', {rnd('z', 1)})
-    || ' standard deviations from the 30-day baseline.'
-  WHEN 'volume' THEN printf('Order count of %d is significantly lower than average (%.1f).',
+  CASE WHEN metric = 'revenue' AND z < 0 THEN 'REVENUE_LOW'
+    WHEN metric = 'revenue' THEN 'REVENUE_HIGH' WHEN metric = 'volume' THEN
+    'VOLUME_LOW' ELSE 'DELIVERY_SLOW' END AS type,
+  CASE metric WHEN 'revenue' THEN 'Revenue of the day, $' || format('{{:,.2f}}', {rnd('cur', 2)})
+    || ', lies ' || printf('%+.1f', {rnd('z', 1)})
+    || ' standard deviations off its usual mean.'
+  WHEN 'volume' THEN printf('Only %d orders came, %.1f are usual.',
     CAST(cur AS BIGINT), {rnd('mean', 1)})
-  ELSE printf('Delivery time spiked to %.1f days (baseline: %.1f days).', {rnd('cur', 1)},
+  ELSE printf('Deliveries took %.1f days, %.1f are usual.', {rnd('cur', 1)},
     {rnd('mean', 1)}) END AS description
 FROM scored WHERE (metric = 'revenue' AND abs(z) >= 2) OR (metric = 'volume' AND z <= -2)
   OR (metric = 'delivery' AND z >= 2)"""
@@ -718,7 +718,7 @@ _LEADERS = "(FROM shift ORDER BY rev_recent DESC, customer_state LIMIT 8)"
 
 
 def _driver(pool: str) -> str:
-    return f"""driver AS (SELECT coalesce(max(customer_state), 'Balanced across regions')
+    return f"""driver AS (SELECT coalesce(max(customer_state), 'No state lost revenue')
   AS top_variance_driver, max(drop_by) AS max_drop FROM (
   SELECT customer_state, rev_prior - rev_recent AS drop_by FROM {pool}
   WHERE rev_prior > rev_recent ORDER BY drop_by DESC, customer_state LIMIT 1))"""
@@ -755,19 +755,17 @@ _DRIVER_ROW = ("SELECT top_variance_driver, CAST(max_drop AS DOUBLE) AS max_drop
 add("top_driver", _DRIVER_ROW, _SHIFT, _driver("shift"))
 add("top_driver_of_leaders", _DRIVER_ROW, _SHIFT, _driver(_LEADERS))
 add("recommendations", """
-SELECT 1 AS position, 'Regional Focus: State ''' || top_variance_driver || ''' accounts for '
-  || 'largest period-over-period variance (-$' || format('{:,.2f}', CAST(max_drop AS DOUBLE))
-  || '). Investigate regional ad delivery and local fulfillment inventory.' AS advice
+SELECT 1 AS position, 'Region: ''' || top_variance_driver || ''' lost more revenue between the two '
+  || 'periods than any other state (-$' || format('{:,.2f}', CAST(max_drop AS DOUBLE))
+  || '). Look into its campaigns and its stock.' AS advice
 FROM driver WHERE max_drop IS NOT NULL
 UNION ALL SELECT 2, CASE WHEN max(cancellation_rate_pct) > 10 THEN
-  'Payment Gateway Outage: Credit card cancellation rate is elevated at '
-  || printf('%.1f', max(cancellation_rate_pct))
-  || '%. Check payment acquirer gateway connectivity.' ELSE
-  'Payment Processing: Transaction settlement rates are stable across credit card and '
-  || 'alternative payment rails.' END FROM paydiag WHERE payment_type = 'credit_card'
-UNION ALL SELECT 3, 'Logistics Delay: Transit times in ''' || customer_state || ''' averaged '
-  || printf('%.1f', avg_delivery_days) || ' days (' || late_deliveries || ' late shipments). '
-  || 'Reroute shipments through secondary carrier hubs.'
+  'Payments: ' || printf('%.1f', max(cancellation_rate_pct))
+  || '% of the credit card orders were canceled. Ask the card processor for failures.' ELSE
+  'Payments: no method stands out by its cancellations.' END FROM paydiag WHERE payment_type = 'credit_card'
+UNION ALL SELECT 3, 'Logistics: deliveries to ''' || customer_state || ''' took '
+  || printf('%.1f', avg_delivery_days) || ' days on average, ' || late_deliveries
+  || ' of them late. Try another carrier there.'
 FROM (FROM slow ORDER BY avg_delivery_days DESC, customer_state LIMIT 1)
 WHERE avg_delivery_days > 8""", _SHIFT, _driver("shift"), _PAYDIAG, _logistics(90))
 add("driver_ranking", f"""
@@ -843,7 +841,7 @@ FROM fits CROSS JOIN ks LEFT JOIN errs USING (segment, metric, k) WHERE points >
         WHERE pts.segment = h.segment AND pts.metric = h.metric AND pts.i = h.i + k AND h.i >= 7)
   GROUP BY 1, 2, 3)""")
 add("forecast_too_short", """
-SELECT segment, metric, points, 'Need at least 7 historical data points for projection'
+SELECT segment, metric, points, 'Fewer than 7 points: no forecast'
   AS error FROM fits WHERE points < 7""", *_fit(10))
 add("trend_direction", f"""
 SELECT segment, metric, {rnd('trend', 2)} AS trend_slope,
@@ -855,10 +853,10 @@ _SUM7 = " + ".join(f"greatest(0e0, level + {k} * trend)" for k in range(1, 8))
 add("early_warnings", f"""
 SELECT segment, metric, CASE WHEN pct > 15 THEN 'POSITIVE_SURGE' WHEN pct > -20 THEN 'WARNING'
   ELSE 'CRITICAL' END AS severity, {rnd('pct', 1)} AS projected_change_pct,
-  CASE WHEN pct > 15 THEN printf('Growth momentum detected: Projected +%.1f%% volume '
-    || 'expansion over next 7 days.', {rnd('pct', 1)})
-  ELSE printf('Projected downward trajectory: Revenue expected to drop by %.1f%% over the next '
-    || '7 days.', {rnd('abs(pct)', 1)}) END AS message
+  CASE WHEN pct > 15 THEN printf('Revenue is forecast to grow by %.1f%% over 7 days.',
+    {rnd('pct', 1)})
+  ELSE printf('Revenue is forecast to shrink by %.1f%% over 7 days.',
+    {rnd('abs(pct)', 1)}) END AS message
 FROM (SELECT *, (({_SUM7}) / 7e0 - recent_mean) / greatest(1e0, recent_mean) * 100e0 AS pct
       FROM fits WHERE metric = 'revenue' AND points >= 7)
 WHERE pct < -10 OR pct > 15""", *_fit(45))

@@ -158,7 +158,7 @@ def sql_history(spark: SparkSession, specs: list[dict], asof: date,
     """Earlier values ``(kpi, segment, day, value)`` of SQL-defined metrics.
 
     A spec may carry a ``history_query`` that returns ``day, value`` rows, which costs one
-    scan. Failing that, a ``sql_query`` using ``:asof`` is asked again for each earlier day;
+    scan; of several rows of a day the highest value counts. Failing that, a ``sql_query`` using ``:asof`` is asked again for each earlier day;
     one without ``:asof`` has no history. ``isolate`` runs each metric by itself, a row a day, and
     leaves out one that fails.
     """
@@ -178,7 +178,10 @@ def sql_history(spark: SparkSession, specs: list[dict], asof: date,
                                  if ":asof" in spec["history_query"] else None)
                 recent = row(past, name, F.col("day").cast("date").alias("day")).filter(
                     F.col("day") >= F.lit(asof - timedelta(days=days)))
-                own = own.unionByName(recent)
+                # One row a day, whatever the query returns: what is collected below is bounded.
+                own = own.unionByName(recent.groupBy("kpi", "segment", "day").agg(
+                    F.max("value").alias("value"))
+                    .filter(F.col("day") < F.lit(asof + timedelta(days=1))))
             elif ":asof" in query:
                 for back in range(1, days + 1):
                     day = asof - timedelta(days=back)
