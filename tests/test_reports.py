@@ -185,3 +185,34 @@ def test_monitor_with_own_sql_metric(make, tables):
              dict(name="daily_revenue", threshold_type="percentage_drop", threshold_value=10)]
     rows = {r["kpi"]: r for r in Monitor(Source(make, tables), specs).kpis().collect()}
     assert rows["open_orders"]["current_value"] == 1.0 and "daily_revenue" in rows
+
+
+def test_combinations_equal_a_full_cube_and_count_less(spark):
+    import random
+    from datetime import date, timedelta
+    from itertools import combinations
+
+    from tidemark.operators import rootcause as rc
+
+    rng = random.Random(1)
+    dims, asof = ["a", "b", "c", "d"], date(2024, 6, 30)
+    rows = []
+    for _ in range(3000):
+        cell = tuple(rng.choice([f"{x}{i}" for i in range(8)] + [None]) for x in "abcd")
+        old = rng.random() < 0.5
+        value = rng.randrange(1, 40) + (400 if old and cell[:2] == ("a1", "b2") else 0)
+        rows.append((*cell, asof - timedelta(days=rng.randrange(8, 14) if old else rng.randrange(6)),
+                     value))
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, day date, v long")
+    sums = {}
+    for *cell, day, v in rows:
+        for k in (1, 2, 3):
+            for chosen in combinations(range(4), k):
+                name = ", ".join(f"{dims[i]}={cell[i] or 'unknown'}" for i in chosen)
+                sums[name] = sums.get(name, 0) + (v if day >= asof - timedelta(days=7) else -v)
+    want = sorted((d, name) for name, d in sums.items())[:5]
+    top, counted = rc.combination_drivers(df, dims, "day", "v", asof, n=5)
+    assert [(r.delta, r.combination) for r in top.orderBy("rank").collect()] == want
+    assert counted[0] == 36 and sum(counted) < len(sums)
+    none, _ = rc.combination_drivers(df.limit(0), dims, "day", "v", asof)
+    assert none.count() == 0

@@ -6,6 +6,8 @@ are spelled out as one row per day, and smoothing is a recursive query.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 ORACLE: dict[str, str] = {}
 
 # --- the conformed tables -------------------------------------------------------------------
@@ -783,6 +785,24 @@ FROM (SELECT dimension, coalesce(member, 'unknown') AS member,
         FROM o JOIN c USING (customer_id) LEFT JOIN (SELECT order_id,
           sum(payment_value) AS paid, max(payment_type) AS payment_type FROM p GROUP BY 1) x
           ON x.order_id = o.order_id WHERE day >= {ANCHOR} - 14) GROUP BY 1, 2)""")
+_DIMS = ["customer_state", "customer_city", "order_status", "payment_type"]
+_SETS = [c for k in (1, 2, 3) for c in combinations(_DIMS, k)]
+_LABEL = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN grouping({d}) = 0 THEN '{d}=' || {d} END" for d in _DIMS) + ")"
+add("driver_combinations", f"""
+SELECT combination, n_dimensions, CAST(recent AS DOUBLE) AS recent,
+  CAST(prior AS DOUBLE) AS prior, CAST(recent - prior AS DOUBLE) AS delta,
+  CAST(row_number() OVER (ORDER BY recent - prior, combination) AS INTEGER) AS rank
+FROM (SELECT {_LABEL} AS combination,
+    CAST({' + '.join(f'1 - grouping({d})' for d in _DIMS)} AS INTEGER) AS n_dimensions,
+    coalesce(sum({_win('paid', True)}), 0) AS recent,
+    coalesce(sum({_win('paid', False)}), 0) AS prior
+  FROM (SELECT day, paid, {', '.join(f"coalesce({d}, 'unknown') AS {d}" for d in _DIMS)}
+        FROM o JOIN c USING (customer_id) LEFT JOIN (SELECT order_id,
+          sum(payment_value) AS paid, max(payment_type) AS payment_type FROM p GROUP BY 1) x
+          ON x.order_id = o.order_id WHERE day >= {ANCHOR} - 14)
+  GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(c) + ')' for c in _SETS)}))
+QUALIFY rank <= 20""")
 add("geography_rollup", """
 SELECT customer_state, customer_city, CAST(sum(payment_value) AS DOUBLE) AS paid
 FROM o JOIN c USING (customer_id) LEFT JOIN p ON p.order_id = o.order_id

@@ -733,15 +733,25 @@ def recommendations(m: Mart) -> DataFrame:
                               rc.logistics_delays(m.orders, m.customers, m.asof, days=90))
 
 
+DRIVERS = [STATE, "customer_city", "order_status", "payment_type"]
+
+
+def _driver_rows(m: Mart) -> DataFrame:
+    o = placed(m).filter(F.col("purchase_ts") >= F.lit(m.asof - timedelta(days=14)))
+    return (o.join(payment_totals(m.payments), "order_id", "left")
+            .select(*DRIVERS, "purchase_ts", "paid"))
+
+
 @query
 def driver_ranking(m: Mart) -> DataFrame:
     """State, city, status and payment method ranked by their change in revenue."""
-    o = placed(m).filter(F.col("purchase_ts") >= F.lit(m.asof - timedelta(days=14)))
-    rows = (o.join(payment_totals(m.payments), "order_id", "left")
-            .select(STATE, "customer_city", "order_status", "payment_type", "purchase_ts",
-                    "paid"))
-    return rc.rank_drivers(rows, [STATE, "customer_city", "order_status", "payment_type"],
-                           "purchase_ts", "paid", m.asof)
+    return rc.rank_drivers(_driver_rows(m), DRIVERS, "purchase_ts", "paid", m.asof)
+
+
+@query
+def driver_combinations(m: Mart) -> DataFrame:
+    """The twenty combinations of up to three of these that lost most revenue."""
+    return rc.combination_drivers(_driver_rows(m), DRIVERS, "purchase_ts", "paid", m.asof)[0]
 
 
 @query
