@@ -646,3 +646,35 @@ def test_tree_learns_a_conjunction():
     x = np.array([[a, b] for a in range(6) for b in range(6)], float)
     y = ((x[:, 0] > 2) & (x[:, 1] <= 3)).astype(float)
     assert (trees.predict(trees.grow(x, y, 3), x) == y).all()
+
+
+def test_neighbours_decide_where_structure_is_silent():
+    tree, long_ = htmltext.train(), "word " * 40
+    used = {htmltext.FEATURES[f] for path in trees.paths(tree) for f, _, _ in path}
+    assert {"words_before", "words_after"} & used and {"links_before", "links_after"} & used
+    x = np.array(htmltext.LABELLED, float)
+    assert ((htmltext.predict(tree, x[:, :-1]) >= 0.5) == x[:, -1]).all()
+    text = htmltext.main_text(f"<h1>A title of four</h1><p>{long_}</p><h2>Methods</h2><p>{long_}</p>",
+                              tree)
+    assert text.split("\n")[::2] == ["A title of four", "Methods"]
+    assert htmltext.main_text(
+        "<div><a href=x>Home</a></div><p>Short line</p><div><a href=y>About us</a></div>", tree) == ""
+
+
+def test_captions_formulas_and_adverts_inside_lines():
+    page = ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. <span class='ad'>BUY "
+            "NOW</span> End.</p><figure><figcaption>A caption</figcaption></figure>"
+            "<audio>no sound here</audio></article>")
+    assert htmltext.main_text(page, htmltext.train()) == (
+        "So x=2 holds. End.\nA caption\nno sound here")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</x>" * 200_000,
+                                  "<p><b>" * 100_000 + "</x>" * 100_000,
+                                  "<p>a</b></p>" * 60_000, "<a <b <c " * 60_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    htmltext.blocks(page)
+    assert time.perf_counter() - start < 20
