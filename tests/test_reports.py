@@ -110,7 +110,7 @@ def test_recommendations(spark):
             driver, spark.createDataFrame([("credit_card", card), ("boleto", 99.0)], pay),
             spark.createDataFrame([("S2", days, 3)], slow)).orderBy("position").collect()]
     bad = advice(10.5, 8.1)
-    assert "(-$1,234.50)" in bad[0] and "elevated at 10.5%" in bad[1]
+    assert "(-$1,234.50)" in bad[0] and "10.5% of the credit card" in bad[1]
     assert "'S2' took 8.1 days on average, 3 of them late" in bad[2]
     good = advice(10.0, 8.0)
     assert len(good) == 2 and good[1].startswith("Payments: no method")
