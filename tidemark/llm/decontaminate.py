@@ -137,35 +137,36 @@ def _document_rows(k: int, span: int, lengths: tuple[int, ...], bitmap):
 _DOCUMENT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *list(_FINGERPRINT)[1:]])
 _DOCUMENT_DDL = "doc_id bigint, mark bigint, " + _FINGERPRINT_DDL.split(", ", 1)[1]
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("words", pa.int64()),
-                  ("item_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_HIT_DDL = "doc_id bigint, mark bigint, words bigint, item_id bigint, first bigint, last bigint"
 
+def _run(a, b, most):
+    """How many of the first ``most`` words of two arrays agree before one differs."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: x != y), True)
+    return F.when(other == 0, most).otherwise(other - 1)
 
-def _extend(k: int, span: int):
-    """Extend joined grams on the words themselves; keep runs as long as the item's window."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows(batches, 5000):
-            out: list[list] = [[] for _ in _HIT]
-            for doc, mark, n, at, left, words, item, size, ileft, iwords in zip(*part):
-                first = last = None
-                need = min(span, size or 0)
-                if item is not None and words:
-                    low = 0
-                    while low < min(left, ileft) and words[left - low - 1] == iwords[ileft - low - 1]:
-                        low += 1
-                    high, most = 0, min(len(words) - left, len(iwords) - ileft)
-                    while high < most and words[left + high] == iwords[ileft + high]:
-                        high += 1
-                    if need and low + high >= need:
-                        first, last = at - low, at + high
-                if first is None and words:
-                    continue
-                for c, v in zip(out, (doc, mark, n, item if first is not None else None,
-                                      first, last)):
-                    c.append(v)
-            yield record(_HIT, out)
-    return run
+
+def _extend(joined: DataFrame, span: int) -> DataFrame:
+    """Extend joined grams on the words themselves; keep runs as long as the item's window.
+
+    Native, since a Python step behind that of the document rows would need a second Python worker
+    a task. Rows without words stand for their document and stay.
+    """
+    left, ileft = F.col("left").cast("int"), F.col("ileft").cast("int")
+    back = F.least(left, ileft)
+    ahead = F.least(F.size("context") - left, F.size("icontext") - ileft)
+
+    def behind(words, at):
+        return F.reverse(F.slice(words, at - back + 1, back))
+
+    low = _run(behind("context", left), behind("icontext", ileft), back)
+    high = _run(F.slice("context", left + 1, ahead), F.slice("icontext", ileft + 1, ahead), ahead)
+    met = F.col("item_id").isNotNull() & (F.size("context") > 0)
+    need = F.least(F.lit(span), F.col("size"))
+    runs = joined.withColumns({"low": F.when(met, low), "high": F.when(met, high)})
+    whole = F.coalesce((need > 0) & (F.col("low") + F.col("high") >= need), F.lit(False))
+    return (runs.filter(whole | (F.size("context") == 0))
+            .select("doc_id", "mark", "words", F.when(whole, F.col("item_id")).alias("item_id"),
+                    F.when(whole, F.col("at") - F.col("low")).alias("first"),
+                    F.when(whole, F.col("at") + F.col("high")).alias("last")))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
@@ -222,10 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, span: int =
             .mapInArrow(_document_rows(k, span, lengths, shared), _DOCUMENT_DDL))
     theirs = items.select("item_id", F.col("words").alias("size"), "hash",
                           F.col("left").alias("ileft"), F.col("context").alias("icontext"))
-    hits = (mine.join(theirs, "hash", "left")
-            .select("doc_id", "mark", "words", "at", "left", "context", "item_id", "size",
-                    "ileft", "icontext")
-            .mapInArrow(_extend(k, span), _HIT_DDL))
+    hits = _extend(mine.join(theirs, "hash", "left"), span)
     return (hits.groupBy("doc_id", "mark")
             .agg(F.max("words").alias("n_words"),
                  F.collect_set(F.when(F.col("first").isNotNull(),
