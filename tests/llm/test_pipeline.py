@@ -1,7 +1,9 @@
 """The pipeline stage by stage against plain Python."""
 
+import math
+
 import corpus_pipeline
-from tidemark.llm import decontaminate, secrets
+from tidemark.llm import decontaminate, language, secrets
 
 from .conftest import TEXTS
 
@@ -59,3 +61,23 @@ def test_language_stage_rejects_what_fits_no_language(spark):
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language ID"](
         spark, docs.unionByName(more), SF).select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {10**6 + 2}
+
+
+def test_floor_counts_every_labelled_text(spark):
+    """One badly fitting text in a thousand moves the floor, whatever its id."""
+    rows = [(i, "x", -2.0) for i in range(1000)]
+    for odd in (3, 500, 999):
+        fits = spark.createDataFrame([(i, lang, -9.0 if i == odd else fit) for i, lang, fit in rows]
+                                     + [(2000, None, -50.0), (2001, "x", -math.inf)],
+                                     "doc_id bigint, lang string, fit double")
+        assert language.floor(fits) == -16.0
+    assert language.floor(fits.limit(0)) == -math.inf
+
+
+def test_contamination_needs_one_python_worker_a_task(spark):
+    """Items twice, document rows and merged hits; grams are extended without a Python step."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = decontaminate.contamination(docs, items)
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("MapInArrow") == 3 and "_extend" not in text

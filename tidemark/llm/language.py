@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import record, rows
 
@@ -266,46 +267,42 @@ def fits(texts: list[str | None], model: Model) -> np.ndarray:
     return out
 
 
-def floor(labelled: DataFrame, model: Model, sample: int = 200, margin: float = 4.0) -> float:
-    """The least fit of a text in a known language, from about ``sample`` texts with a language.
+def fitted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the ``fit`` of every row (see ``fits``), each row judged by itself."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 400):
+                part = batch.slice(first, 400)
+                fit = pa.array(fits(part.column(at).to_pylist(), shared.value), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, fit],
+                                                 names=[*part.schema.names, "fit"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("fit", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
 
-    They are drawn by another hash of doc_id than the training sample. The floor lies as far below
-    the worst of them as that lies below their median, ``margin`` at least. Without such texts
-    nothing is below it.
+def floor(labelled: DataFrame, margin: float = 4.0) -> float:
+    """The least fit of a text in a known language, from every row with a lang and a ``fit``.
+
+    The floor lies as far below the worst of them as that lies below their median, ``margin`` at
+    least; the median is taken of fits in thousandths, so what is collected for it is bounded.
+    Without such texts nothing is below it.
     """
-    usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    n = usable.count()
-    if not n or not model.languages:
-        return -np.inf
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-    draw = F.pmod(F.xxhash64(F.lit("floor"), "doc_id"), F.lit(1 << 30))
-    texts = (usable.filter(draw < int(min(1.0, sample / n) * (1 << 30)))
-             .groupBy("doc_id").agg(F.min("text").alias("text")).select("text"))
-
-    def run(batches):
-        for (part,) in rows(batches, 400):
-            yield pa.RecordBatch.from_arrays([pa.array(fits(part, shared.value))], names=["fit"])
-
-    low, middle = (texts.mapInArrow(run, "fit double").filter("fit > double('-infinity')")
-                   .agg(F.min("fit"), F.percentile_approx("fit", 0.5)).first())
+    steps = (labelled.filter("lang IS NOT NULL AND fit > double('-infinity')")
+             .groupBy(F.floor(F.col("fit") * 1000).alias("step"))
+             .agg(F.min("fit").alias("low"), F.count(F.lit(1)).alias("n")))
+    low, middle = steps.agg(F.min("low"), F.expr("percentile(step, 0.5, n) / 1000")).first()
     return -np.inf if low is None else low - max(middle - low, margin)
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = -np.inf) -> DataFrame:
-    """``docs`` without the rows that have no letter or fit no language of the model.
+def keep_known(scored: DataFrame, least: float = -np.inf) -> DataFrame:
+    """The rows of ``fitted`` that have a letter and fit a language, without their ``fit``.
 
     A text stays whose log-probability a character, under the best language, is ``least`` or more
     (see ``floor``). A model without languages judges nothing and rejects every row. Repeated rows
     and null ids are judged each by itself; nothing is joined or shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 400):
-                part = batch.slice(first, 400)
-                fit = fits(part.column(at).to_pylist(), shared.value)
-                yield part.filter(pa.array(np.isfinite(fit) & (fit >= least), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return scored.filter((F.col("fit") > -np.inf) & (F.col("fit") >= least)).drop("fit")

@@ -54,8 +54,8 @@ def op8_order_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
-def language_labels(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang").filter(
+def language_labels(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select("doc_id", *(columns or ("text",)), "lang").filter(
         F.coalesce(_remainder(4) != 2, F.lit(False)))
 
 
