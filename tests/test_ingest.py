@@ -277,3 +277,24 @@ def test_one_pass_over_a_feed_equals_its_tables(spark, tmp_path):
     assert sorted(map(str, tables["products"].select(want["products"].columns).collect())) == sorted(
         map(str, want["products"].collect()))
     assert tables["order_reviews"].count() == 0
+
+
+def test_deciding_rows_shuffle_one_row_a_key_whatever_their_order(spark):
+    """Only the deciding row of a kind is kept, and rows of one place decide alike in any order."""
+    names = ("order_id customer_id product_id city category delivery_status is_returned "
+             "order_timestamp order_value payment_method quantity price").split()
+    rows = [(1, "o", "c", "p", city, "k", "Shipped", "no", "10:00.0", "5", pay, "2", "5")
+            for city, pay in (("Oslo", "Visa"), ("Bonn", "Cash"))]
+    rows.append((0, "o2", "c2", "p", "Rome", "a", "Shipped", "no", "10:00.0", "5", "Cash", "0", "5"))
+    found = []
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, ["n", *names]).coalesce(1)
+        decided = feed.deciding_rows(df, date(2024, 1, 1), ["n"])
+        assert "min_by" not in decided._jdf.queryExecution().optimizedPlan().toString()
+        found.append(sorted((r["table"], r["key"], r["place"]["n"], r["row"]["city"] or "",
+                             r["row"]["category"] or "", r["row"]["payment_type"] or "")
+                            for r in decided.collect()))
+    assert found[0] == found[1] == [
+        ("customers", "c", 1, "Bonn", "", ""), ("customers", "c2", 0, "Rome", "", ""),
+        ("items", "o", 1, "", "", ""), ("orders", "o", 1, "", "", "visa"),
+        ("orders", "o2", 0, "", "", "cash"), ("products", "p", 0, "", "a", "")]

@@ -158,11 +158,12 @@ def deciding_rows(feed: DataFrame, asof: date, sequence: list[str]) -> DataFrame
     spread = spread.filter((F.col("table") != "items") | (F.col("number") >= 1)).withColumn(
         "own", F.when(F.col("key").isNull() & (F.col("table") != "items"),
                       F.monotonically_increasing_id()))
-    whole = F.struct("place", "row")
+    # A kind needs its first or its last row, so the other stays null and isn't shuffled; rows are
+    # ordered by their place, which comes first.
+    early, whole = F.col("table").isin("customers", "products"), F.struct("place", "row")
     chosen = spread.groupBy("table", "key", "number", "own").agg(
-        F.min_by(whole, "place").alias("first"), F.max_by(whole, "place").alias("last"))
-    out = chosen.withColumn("kept", F.when(F.col("table").isin("customers", "products"),
-                                           F.col("first")).otherwise(F.col("last")))
+        F.min(F.when(early, whole)).alias("first"), F.max(F.when(~early, whole)).alias("last"))
+    out = chosen.withColumn("kept", F.coalesce("first", "last"))
     return out.select("table", "key", "number", "kept.place", "kept.row")
 
 
