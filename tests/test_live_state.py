@@ -187,3 +187,16 @@ def test_merged_quantiles_have_small_rank_errors(spark):
     fence = {r.segment: r for r in sketches.fences(sketches.quantiles_between(
         sketches.value_sketches(small))).collect()}
     assert fence["b"].median in exact
+
+
+def test_large_batches_are_several_files_each_and_still_read_in_turn(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 4).select("id", (F.col("id") % 3).alias("batch")).persist()
+    path = str(tmp_path / "events.parquet")
+    files = rt.write_batches(rows, "batch", range(3), path, rows_per_file=300)
+    assert files == 4
+    seen = []
+    rt.run_batches(rt.parquet_stream(spark, str(tmp_path), "events", files), str(tmp_path / "run"),
+                   lambda df, b: seen.append(sorted(r.id for r in df.collect())))
+    assert seen == [list(range(b, 3000, 3)) for b in range(3)]
+    few = rows.filter("batch < 2 OR id < 9")     # the last batch can't fill four files
+    assert rt.write_batches(few, "batch", range(3), str(tmp_path / "few.parquet"), 300) == 1

@@ -892,11 +892,9 @@ def _redelivered(m: Mart) -> DataFrame:
                 "batch", F.col("batch") + 3))
             .unionByName(plain_.filter("event_id % 11 = 0 AND batch < 2").withColumn(
                 "ts", F.col("ts") + late).withColumn("batch", F.col("batch") + 3))).persist()
-    for b in range(5):                       # written one after the other, and so read in turn
-        (rows.filter(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append")
-         .parquet(f"{folder}/events.parquet"))
+    files = rt.write_batches(rows, "batch", range(5), f"{folder}/events.parquet")
     rows.unpersist()
-    return rt.parquet_stream(m.spark, folder, "events", files_per_trigger=1)
+    return rt.parquet_stream(m.spark, folder, "events", files_per_trigger=files)
 
 
 @query

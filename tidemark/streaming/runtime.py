@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +28,28 @@ def parquet_stream(spark: SparkSession, folder: str, name: str,
         if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields])
 
 
+def write_batches(rows: DataFrame, column: str, batches: Sequence[int], path: str,
+                  rows_per_file: int = 500_000) -> int:
+    """Write the rows of each batch one after the other; the number of files each of them has.
+
+    A stream that takes so many files a trigger reads the batches in turn. A batch is one file as
+    long as none has more than ``rows_per_file`` rows. With more, each is dealt out in turn from
+    every partition, so that no file is left without rows; a batch too small for that makes all
+    batches one file.
+    """
+    spread = rows.rdd.getNumPartitions()
+    sizes = {r[column]: r["count"] for r in rows.groupBy(column).count().collect()}
+    present = [sizes[b] for b in batches if b in sizes]
+    files = -(-max(present, default=1) // rows_per_file)
+    if min(present, default=0) < files * spread or len(present) < len(batches):
+        files = 1
+    for b in batches:
+        part = rows.filter(F.col(column) == b).drop(column)
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").parquet(path)
+    return files
+
+
 def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None],
                 mode: str = "append") -> None:
     """Process all available input through ``handle`` and stop."""
