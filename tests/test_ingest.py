@@ -298,3 +298,82 @@ def test_deciding_rows_shuffle_one_row_a_key_whatever_their_order(spark):
         ("customers", "c", 1, "Bonn", "", ""), ("customers", "c2", 0, "Rome", "", ""),
         ("items", "o", 1, "", "", ""), ("orders", "o", 1, "", "", "visa"),
         ("orders", "o2", 0, "", "", "cash"), ("products", "p", 0, "", "a", "")]
+
+
+def _exchanges(df):
+    """(records, bytes) of every exchange of a plan that has run."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found.append([node.metrics().apply(m).value()
+                          for m in ("shuffleRecordsWritten", "dataSize")])
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_deciding_rows_are_narrow_before_the_exchange(spark):
+    """Kinds share their columns: four rows to a feed row are sorted and shuffled."""
+    rows = [row(i, f"o{i}", customer=f"c{i}", product=f"p{i}") for i in range(200)]
+    decided = feed.deciding_rows(feed_frame(spark, rows), ASOF, ["seq"])
+    assert len(decided.collect()) == 800
+    (records, size), = _exchanges(decided)
+    assert records == 800 and size / records < 160
+
+
+def test_flat_feed_moves_its_lines_by_part_and_by_order_only(spark, tmp_path):
+    from tidemark.catalog import queries
+    from tidemark.sources.conformed import Mart
+
+    day = datetime(2024, 3, 1)
+    lines = [(1, 1, 10, 7, 12.0, 5.25, 0.06, "R", "O", day), (1, 2, 11, 7, 20.0, 6.5, 0.05, "R", "F", day),
+             (2, 5, 10, 8, 30.0, 7.0, 0.09, "A", "F", day), (2, 7, 11, 8, 40.0, 8.0, None, "R", "O", day),
+             (2, 4, 10, 8, 50.0, 9.0, 0.1, None, None, day), (3, 1, 10, 9, 10.0, 1.0, 0.0, "N", "O", day),
+             (1, 3, 99, 9, 10.0, 1.0, 0.0, "N", "O", day), (None, 1, 10, 9, 10.0, 1.0, 0.0, "N", "O", day)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+                     "l_quantity double, l_extendedprice double, l_discount double, "
+                     "l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(1, 20, "F"), (2, 21, "P"), (3, 99, "O"), (4, 20, "O")],
+                   "o_orderkey long, o_custkey long, o_orderstatus string"),
+        "customer": ([(20, "X"), (21, None)], "c_custkey long, c_mktsegment string"),
+        "part": ([(10, "a"), (11, "b")], "p_partkey long, p_type string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        flat = queries.flat_feed(Mart(spark, str(tmp_path)))
+        plan = flat._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.order_id, r.l_linenumber, r.customer_id, r.product_id, r.city, r.category,
+                      r.delivery_status, r.is_returned, r.order_timestamp, r.order_value,
+                      r.payment_method, r.quantity) for r in flat.collect())
+    finally:
+        spark.conf.set(key, old)
+    # A customer meets orders, so no line is dealt out by its customer.
+    branch = plan[plan.index("hashpartitioning(o_custkey"):].splitlines()[1:4]
+    assert any("orders.parquet" in x or "o_orderkey" in x for x in branch)
+    assert all("l_orderkey" not in x for x in branch)
+    assert got == [
+        ("1", 1, "20", "10", "X", "a", "Delivered", "Yes", "09:12.5", "5.25", "Credit Card", "2"),
+        ("1", 2, "20", "11", "X", "b", "Delivered", "no", "10:20.5", "6.50", "Credit Card", "10"),
+        ("2", 4, "21", "10", None, "a", "Lost", "no", "12:50.5", "9.00", "Gift Card", "40"),
+        ("2", 5, "21", "10", None, "a", "Processing", "no", "13:30.5", "7.00", "Debit Card", "20"),
+        ("2", 7, "21", "11", None, "b", "Pending", "no", "n/a", "8.00", "Credit Card", "30")]
+
+
+def test_small_tasks_bound_rows_and_give_settings_back(spark):
+    from tidemark.plans import small_tasks
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    with small_tasks(spark, 41, 4, "1m"):
+        assert [spark.conf.get(k) for k in keys] == ["11", "1m"]
+    with pytest.raises(KeyError), small_tasks(spark, 0, 4, "1m"):
+        assert spark.conf.get(keys[0]) == before[0]       # never fewer than the session has
+        raise KeyError
+    assert [spark.conf.get(k) for k in keys] == before

@@ -1 +1 @@
-from tidemark.plans.session import configure, session, work_dir  # noqa: F401
+from tidemark.plans.session import configure, session, small_tasks, work_dir  # noqa: F401

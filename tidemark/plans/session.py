@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +49,26 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     return configure(builder.getOrCreate())
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int, most: int, size: str) -> Iterator[None]:
+    """Jobs that run inside have exchanges of so many partitions that one gets ``most`` of ``rows``.
+
+    For jobs that hold much more than they read. Adaptive execution merges partitions up to
+    ``size`` only, and splits skewed ones as ever.
+    """
+    parts = "spark.sql.shuffle.partitions"
+    inside = {parts: str(max(int(spark.conf.get(parts)), -(-rows // most))),
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": size}
+    before = {key: spark.conf.get(key) for key in inside}
+    try:
+        for key, value in inside.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 

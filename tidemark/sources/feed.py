@@ -128,49 +128,72 @@ def _numbered(last: DataFrame, sequence: list[str]) -> DataFrame:
         F.lit(0).cast("decimal(18,2)").alias("freight_value"))
 
 
-#: What each kind of stored row needs of a feed row, beside its keys.
-_NEEDS = {"customers": ["city"], "products": ["category"],
-          "orders": ["customer_id", "order_status", "purchase_ts", "order_value", "payment_type"],
-          "items": ["product_id", "purchase_ts", "price"]}
+#: Columns that carry the fields of every kind of stored row through the exchange, and what each
+#: kind needs in them. Fields follow the order of their names, by which rows of one place compare.
+_CARRIERS = {"text": "string", "status": "string", "amount": "decimal(18,2)", "name": "string",
+             "stamp": "timestamp"}
+_FIELDS = {"customers": ("city", None, None, None, None),
+           "products": ("category", None, None, None, None),
+           "orders": ("customer_id", "order_status", "order_value", "payment_type", "purchase_ts"),
+           "items": (None, None, "price", "product_id", "purchase_ts")}
+_KEYS = {"customers": "customer_id", "products": "product_id", "orders": "order_id",
+         "items": "order_id"}
+
+
+def _by_kind(columns: dict[str, Column]) -> Column:
+    """The column of the row's own kind; NULL for a kind without one."""
+    first, *others = ((F.col("table") == table, column) for table, column in columns.items())
+    out = F.when(*first)
+    for test, column in others:
+        out = out.when(test, column)
+    return out
 
 
 def deciding_rows(feed: DataFrame, asof: date, sequence: list[str]) -> DataFrame:
     """(table, key, number, place, row): what decides every table, from one read of a feed.
 
     A feed row becomes one row each for its customer, product, order and item quantity, with only
-    the fields that this kind needs. Rows of one key combine before the exchange, and the first
-    (customers, products) or last one (orders, items) stays. Rows without a key stay all.
+    the fields that this kind needs. The kinds share a few flat columns: four rows to a feed row
+    are sorted before the exchange, and should fit into memory. Rows of one key combine there, and
+    the first (customers, products) or last one (orders, items) stays. Rows without a key stay all.
     """
     rows = _read(feed, asof, sequence).withColumn("quantity", F.coalesce("quantity", F.lit(1)))
-    fields = sorted({c for need in _NEEDS.values() for c in need})
     types = {f.name: f.dataType for f in rows.schema.fields}
-
-    def tagged(table, key, number):
-        kept = [F.when(F.lit(c in _NEEDS[table]), F.col(c)).cast(types[c]).alias(c) for c in fields]
-        return F.struct(F.lit(table).alias("table"), F.col(key).alias("key"), number.alias("number"),
-                        F.struct(*kept).alias("row"))
-
-    none = F.lit(None).cast("int")
-    kinds = F.array(tagged("customers", "customer_id", none), tagged("products", "product_id", none),
-                    tagged("orders", "order_id", none), tagged("items", "order_id", F.col("quantity")))
-    place = F.struct(*sequence)
-    spread = rows.select(place.alias("place"), F.explode(kinds).alias("k")).select("place", "k.*")
-    spread = spread.filter((F.col("table") != "items") | (F.col("number") >= 1)).withColumn(
-        "own", F.when(F.col("key").isNull() & (F.col("table") != "items"),
-                      F.monotonically_increasing_id()))
+    kinds = F.when(F.col("quantity") >= 1, F.array(*map(F.lit, _FIELDS))).otherwise(
+        F.array(*(F.lit(table) for table in _FIELDS if table != "items")))
+    key = _by_kind({table: F.col(c) for table, c in _KEYS.items()})
+    places = [f"place_{i}" for i in range(len(sequence))]
+    carried = {carrier: _by_kind({table: F.col(held[i]).cast(dtype)
+                                  for table, held in _FIELDS.items() if held[i]})
+               for i, (carrier, dtype) in enumerate(_CARRIERS.items())}
+    # What tells rows of one key apart: an item's quantity, or anything where there is no key.
+    part = _by_kind({"items": F.col("quantity").cast("bigint")}).otherwise(
+        F.when(key.isNull(), F.monotonically_increasing_id()))
+    spread = rows.select("*", F.explode(kinds).alias("table")).select(
+        "table", key.alias("key"), part.alias("part"),
+        *(F.col(c).alias(p) for c, p in zip(sequence, places)),
+        *(column.alias(carrier) for carrier, column in carried.items()))
     # A kind needs its first or its last row, so the other stays null and isn't shuffled; rows are
     # ordered by their place, which comes first.
-    early, whole = F.col("table").isin("customers", "products"), F.struct("place", "row")
-    chosen = spread.groupBy("table", "key", "number", "own").agg(
+    early = F.col("table").isin("customers", "products")
+    whole = F.struct(*places, *_CARRIERS)
+    chosen = spread.groupBy("table", "key", "part").agg(
         F.min(F.when(early, whole)).alias("first"), F.max(F.when(~early, whole)).alias("last"))
     out = chosen.withColumn("kept", F.coalesce("first", "last"))
-    return out.select("table", "key", "number", "kept.place", "kept.row")
+    row = {c: _by_kind({table: F.col(f"kept.{carrier}").cast(types[c])
+                        for table, held in _FIELDS.items()
+                        for carrier, field in zip(_CARRIERS, held) if field == c})
+           for c in sorted({c for held in _FIELDS.values() for c in held if c})}
+    return out.select(
+        "table", "key", _by_kind({"items": F.col("part").cast("int")}).alias("number"),
+        F.struct(*(F.col(f"kept.{p}").alias(c) for c, p in zip(sequence, places))).alias("place"),
+        F.struct(*(column.alias(c) for c, column in row.items())).alias("row"))
 
 
 def store(feed: DataFrame, asof: date, sequence: list[str], folder: str) -> None:
     """Write the deciding rows of a feed, partitioned by table, in one job."""
     (deciding_rows(feed, asof, sequence).write.mode("overwrite").partitionBy("table")
-     .parquet(folder))
+     .option("compression", "zstd").parquet(folder))
 
 
 def stored_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
